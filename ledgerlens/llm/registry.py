@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import sharding, topk
+from ledgerlens.llm import bpe, license_scan, quality_rules, sharding, topk
 
 
 def queries() -> dict:
     return {
         "op2_byte_prefix_shards": sharding.op2_byte_prefix_shards,
+        "op5_diagonal_license_scan": license_scan.op5_diagonal_license_scan,
+        "op6_mcd_quality_rules": quality_rules.op6_mcd_quality_rules,
+        "op7_heap_bpe_roundtrip": bpe.op7_heap_bpe_roundtrip,
         "op10_norm_bucket_topk": topk.op10_norm_bucket_topk,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op10_norm_bucket_topk": topk.OP10_SQL}
+    return {"op5_diagonal_license_scan": license_scan.OP5_SQL, "op10_norm_bucket_topk": topk.OP10_SQL}
