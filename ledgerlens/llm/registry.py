@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, license_scan, quality_rules, sharding, topk
+from ledgerlens.llm import bpe, license_scan, packing, quality_rules, sharding, topk
 
 
 def queries() -> dict:
     return {
         "op2_byte_prefix_shards": sharding.op2_byte_prefix_shards,
+        "op4_swap_search_packing": packing.op4_swap_search_packing,
         "op5_diagonal_license_scan": license_scan.op5_diagonal_license_scan,
         "op6_mcd_quality_rules": quality_rules.op6_mcd_quality_rules,
         "op7_heap_bpe_roundtrip": bpe.op7_heap_bpe_roundtrip,
