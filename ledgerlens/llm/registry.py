@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, license_scan, packing, quality_rules, sharding, suffix_dedup, topk
+from ledgerlens.llm import bpe, license_scan, near_dup, packing, quality_rules, sharding, suffix_dedup, topk
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_diagonal_license_scan": license_scan.op5_diagonal_license_scan,
         "op6_mcd_quality_rules": quality_rules.op6_mcd_quality_rules,
         "op7_heap_bpe_roundtrip": bpe.op7_heap_bpe_roundtrip,
+        "op8_weighted_minhash_classes": near_dup.op8_weighted_minhash_classes,
         "op9_previous_factor_dedup": suffix_dedup.op9_previous_factor_dedup,
         "op10_norm_bucket_topk": topk.op10_norm_bucket_topk,
     }
