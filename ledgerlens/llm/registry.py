@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, license_scan, near_dup, packing, quality_rules, sharding, suffix_dedup, topk
+from ledgerlens.llm import bpe, language_id, license_scan, near_dup, packing, quality_cotrain, quality_rules, sharding, suffix_dedup, topk
 
 
 def queries() -> dict:
     return {
+        "op1_bayes_language_id": language_id.op1_bayes_language_id,
         "op2_byte_prefix_shards": sharding.op2_byte_prefix_shards,
+        "op3_cotrained_quality": quality_cotrain.op3_cotrained_quality,
         "op4_swap_search_packing": packing.op4_swap_search_packing,
         "op5_diagonal_license_scan": license_scan.op5_diagonal_license_scan,
         "op6_mcd_quality_rules": quality_rules.op6_mcd_quality_rules,
