@@ -1,0 +1,15 @@
+"""Lineage cuts in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint to spark.checkpoint.dir; where that is unset, as in tests, to a fresh folder."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-checkpoints-"))
+    return df.checkpoint(eager=True)
