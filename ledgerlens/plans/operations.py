@@ -15,7 +15,10 @@ from ledgerlens.plans import verification as ver
 from ledgerlens.sources import requests as R
 from ledgerlens.streaming import streams
 
-NOW = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+
+def now():
+    """The moment that the queries call now."""
+    return F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
 
 
 def _messages(spark, sf):
@@ -66,7 +69,7 @@ def stream_inbox_dedup(spark, sf):
 
 def retry_schedule(spark, sf):
     e = _events(spark, sf).filter("source_system = 'error'").select(F.col("message_id").alias("job_id"), (F.col("event_id") % 7).cast("int").alias("attempts")).dropDuplicates(["job_id", "attempts"])
-    return P.retry_schedule(e, NOW.cast("timestamp")).select("job_id", "attempts", "status", "delay_seconds", "result")
+    return P.retry_schedule(e, now().cast("timestamp")).select("job_id", "attempts", "status", "delay_seconds", "result")
 
 
 def _outbox(spark, sf):
@@ -75,7 +78,7 @@ def _outbox(spark, sf):
 
 
 def outbox_due(spark, sf):
-    return P.outbox_due(_outbox(spark, sf), NOW).select("event_id", "status", F.date_format("available_at", "yyyy-MM-dd HH:mm:ss").alias("available_at"))
+    return P.outbox_due(_outbox(spark, sf), now()).select("event_id", "status", F.date_format("available_at", "yyyy-MM-dd HH:mm:ss").alias("available_at"))
 
 
 def outbox_outcome(spark, sf):

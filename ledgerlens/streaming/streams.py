@@ -37,21 +37,22 @@ def live_progress(events: DataFrame) -> DataFrame:
 
 
 def retries(failures: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """Failures (job_id, at) of a stream as retry or dead-letter rows; attempts are counted per job in state that expires after a day."""
+    """Failures (job_id, at) of a stream as retry or dead-letter rows; attempts are counted per job in state that expires a day after its last failure."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        attempts = state.get[0] if state.exists else 0
+        attempts, last = state.get[0] if state.exists else 0, 0
         for pdf in batches:
             rows = []
             for at in sorted(pdf["at"]):
-                attempts += 1
+                attempts, last = attempts + 1, int(at.timestamp() * 1000)
                 dead = attempts >= max_attempts
                 rows.append((key[0], attempts, "DLQ" if dead else "RETRY", None if dead else 30 * 2 ** (attempts - 1), at))
             yield pd.DataFrame(rows, columns=["job_id", "attempt", "status", "delay_seconds", "at"])
         state.update((attempts,))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        state.setTimeoutTimestamp(max(last + 24 * 3600 * 1000, state.getCurrentWatermarkMs() + 1))
 
-    return failures.groupBy("job_id").applyInPandasWithState(step, "job_id long, attempt int, status string, delay_seconds long, at timestamp", "attempts int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = failures.withWatermark("at", "1 hour")
+    return timed.groupBy("job_id").applyInPandasWithState(step, "job_id long, attempt int, status string, delay_seconds long, at timestamp", "attempts int", "append", GroupStateTimeout.EventTimeTimeout)
