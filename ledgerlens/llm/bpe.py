@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 
 import pyarrow as pa
 import regex
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame
 from ledgerlens.llm.common import table, text_or_empty
 
 #: Entries of one generation of a worker's cache.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 450_000
 #: Unicode white space.
 WHITE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: A space beside other white space: there the plain cut at spaces would split a run.
-ODD_SPACE = regex.compile(rf" [{WHITE}]|[{WHITE}] ")
+#: White space other than spaces and line ends.
+OTHER_WHITE = re.compile("[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SAFE_CUT = regex.compile(rf"(?<=[^{WHITE}])(?= [^{WHITE}])")
 
 
@@ -64,12 +65,13 @@ class TwoGenerations(dict):
         return value
 
 
-def cuts(text: str) -> list[str]:
-    """Substrings that concatenate to text and that no pre-token crosses."""
-    if ODD_SPACE.search(text):
-        return SAFE_CUT.split(text)
+def cuts(text: str) -> tuple[str, list[str]]:
+    """A first substring and the rest, each of the rest after one space that starts it, so that no pre-token crosses a cut."""
+    if "  " in text or " \n" in text or "\n " in text or OTHER_WHITE.search(text):
+        first, *rest = SAFE_CUT.split(text)
+        return first, [x[1:] for x in rest]
     first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    return first, rest
 
 
 class BytePairCoder:
@@ -83,65 +85,84 @@ class BytePairCoder:
         self.vocabulary |= {i: s.encode() for s, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.byte_ids = [vocab[letters[b]] for b in range(256)]
-        self.merges = {}
+        #: Rank of a pair under one number, and the id that each rank makes.
+        self.ranks, self.made = {}, []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.ranked = [m[1] for m in self.merges.values()]
-        self.whole = {self.vocabulary[i]: i for s, i in vocab.items()}
-        self.chunks = TwoGenerations(self._chunk)
+            self.ranks[vocab[a] << 20 | vocab[b]] = rank
+            self.made.append(vocab[a + b])
+        self.after_space = TwoGenerations(lambda word: self._chunk(" " + word))
+        self.at_start = TwoGenerations(self._chunk, 10_000)
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token. A queue entry is the rank and, in its low bits, the place of the left symbol."""
         ids = [self.byte_ids[b] for b in data]
-        n, merges = len(ids), self.merges
+        n, rank_of, made = len(ids), self.ranks.get, self.made
         if n == 1:
             return ids
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for i in range(n - 1):
-            found = merges.get((ids[i], ids[i + 1]))
-            if found is not None:
-                queue.append((found[0], i, ids[i], ids[i + 1]))
+        queue, a, bits = [], ids[0], n.bit_length()
+        low = (1 << bits) - 1
+        for i in range(1, n):
+            b = ids[i]
+            rank = rank_of(a << 20 | b)
+            if rank is not None:
+                queue.append(rank << bits | i - 1)
+            a = b
+        if not queue:
+            return ids
         heapq.heapify(queue)
+        push, pop = heapq.heappush, heapq.heappop
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            rank, i, a, b = heapq.heappop(queue)
+            entry = pop(queue)
+            rank, i = entry >> bits, entry & low
             j = right[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue  # stale: a neighbour was merged since
-            ids[i] = merged = self.ranked[rank]
+            if j >= n or ids[i] < 0 or rank_of(ids[i] << 20 | ids[j]) != rank:
+                continue  # stale: one of the two symbols was merged since
+            ids[i] = merged = made[rank]
             ids[j] = -1
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
-                found = merges.get((merged, ids[k]))
-                if found is not None:
-                    heapq.heappush(queue, (found[0], i, merged, ids[k]))
-            if (h := left[i]) >= 0:
-                found = merges.get((ids[h], merged))
-                if found is not None:
-                    heapq.heappush(queue, (found[0], h, ids[h], merged))
+                rank = rank_of(merged << 20 | ids[k])
+                if rank is not None:
+                    push(queue, rank << bits | i)
+            h = left[i]
+            if h >= 0:
+                rank = rank_of(ids[h] << 20 | merged)
+                if rank is not None:
+                    push(queue, rank << bits | h)
         return [x for x in ids if x >= 0]
 
     def _chunk(self, chunk: str) -> tuple[str, int, bytes]:
-        ids = []
-        for piece in PRE_TOKEN.findall(chunk):
-            ids += self.merge(piece.encode())
-        return ",".join(map(str, ids)), len(ids), self.decode_bytes(ids)
+        pieces = PRE_TOKEN.findall(chunk)
+        if len(pieces) == 1:
+            ids = self.merge(pieces[0].encode())
+            return ",".join(map(str, ids)), len(ids), self.decode_bytes(ids)
+        # A word before a comma and the like is often known from elsewhere.
+        parts = [self.after_space[p[1:]] if p[0] == " " and len(p) > 1 else self.at_start[p] for p in pieces]
+        return ",".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts])
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join([self.vocabulary[i] for i in ids])
 
+    def _plain(self, text: str) -> list[tuple[str, int, bytes]]:
+        first, rest = cuts(text)
+        parts = list(map(self.after_space.__getitem__, rest))
+        if first:
+            parts.insert(0, self.at_start[first])
+        return parts
+
     def encoded(self, text: str) -> list[tuple[str, int, bytes]]:
         """For each cut of the text: its ids joined by commas, their number, their decoded bytes."""
         if self.split_special is None or not any(s in text for s in self.special):
-            return [x for x in map(self.chunks.__getitem__, cuts(text)) if x[1]]
+            return self._plain(text)
         out = []
         for part in self.split_special.split(text):
             if part in self.special:
                 out.append((str(self.special[part]), 1, self.vocabulary[self.special[part]]))
             elif part:
-                out += [x for x in map(self.chunks.__getitem__, cuts(part)) if x[1]]
+                out += self._plain(part)
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -170,10 +191,10 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                parts = code.encoded(text)
-                ids = ",".join([x[0] for x in parts])
-                decoded = b"".join([x[2] for x in parts]).decode("utf-8", "replace")
-                rows.append((sum([x[1] for x in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                ids, counts, data = zip(*code.encoded(text), strict=True) if text else ((), (), ())
+                ids = ",".join(ids)
+                decoded = b"".join(data).decode("utf-8", "replace")
+                rows.append((sum(counts), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             n, i, d = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
