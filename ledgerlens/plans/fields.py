@@ -9,6 +9,7 @@ from ledgerlens.functions import text as T
 from ledgerlens.operators import extract as X
 from ledgerlens.operators import resolve as R
 from ledgerlens.plans import fixtures as fx
+from ledgerlens.plans.storage import cut
 
 D = "double"
 
@@ -22,7 +23,8 @@ def _raw(spark, sf):
 
 
 def _clean(spark, sf):
-    return R.reconcile(R.dedup_candidates(_raw(spark, sf)))
+    """Reconciled candidates. The extraction is stored first: reconciliation and ranking read it several times."""
+    return R.reconcile(cut(R.dedup_candidates(_raw(spark, sf))))
 
 
 def invoice_fields(spark, sf):
