@@ -9,9 +9,10 @@ Equal weighted sets are one node. Links are found without pairing whole buckets:
 
 1. Each bucket's members are put in a random order; each is paired with the first and with its predecessor. These pairs,
    linear in the bucket, are verified by the exact weighted Jaccard similarity of their texts; links give components.
-2. In a bucket that still holds several components, pairs across components whose sketches allow a similarity of
-   THRESHOLD at all (SKETCH_SLACK standard deviations) are verified too. Buckets are cut into blocks for this, so no bucket is
-   gathered in one task; only pairs that pass are emitted.
+2. A bucket that still holds several components is cut into blocks, and each pair of blocks goes to one task with its
+   texts. There pairs across components are verified, the most typical member first, each link uniting two components so that
+   what it decides isn't asked again; a pair that shares several buckets is left to the first, and one whose sketches
+   rule out a similarity of THRESHOLD (by SKETCH_SLACK standard deviations) is skipped. Only the uniting links come out.
 3. Components of all links, by alternating large-star and small-star steps, are the classes.
 
 Defined cases: a null text counts as empty; texts of fewer than five words have one shingle of all their words; texts without words are
@@ -34,12 +35,14 @@ from ledgerlens.llm.common import cut, stored, table, text_or_empty
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 14, 4
+BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
 DF_BUCKETS = 1 << 18
 SKETCH_SLACK = 5.0
 #: Members of a bucket that are compared with each other in one task.
-BLOCK_MEMBERS = 1_000
+BLOCK_MEMBERS = 500
+#: Numbers that one step of the sketch works on.
+SKETCH_CELLS = 1 << 16
 
 _rng = np.random.default_rng(7919)
 _QUANTILES = 1 << 16
@@ -98,15 +101,17 @@ def sketch(grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
     out = np.empty(SAMPLES, np.uint64)
     log_w = np.log(weights)
     low = np.uint64(_QUANTILES - 1)
-    for j in range(SAMPLES):
-        x = grams * _SEEDS[j]
+    step = max(1, SKETCH_CELLS // len(grams))
+    for j in range(0, SAMPLES, step):
+        x = grams * _SEEDS[j : j + step, None]
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
-        a, b, c = (x >> np.uint64(48)).astype(np.int32), ((x >> np.uint64(32)) & low).astype(np.int32), ((x >> np.uint64(16)) & low).astype(np.int32)
-        r, beta = _R[a], _BETA[b]
+        a = (x >> np.uint64(48)).astype(np.int32)
+        r, beta = _R[a], _BETA[((x >> np.uint64(32)) & low).astype(np.int32)]
         t = np.floor(log_w * _R_INVERSE[a] + beta)
-        best = int(np.argmin(_LOG_C[c] - r * (t - beta + 1)))
-        out[j] = (int(grams[best]) ^ (int(t[best]) * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
+        best = (_LOG_C[((x >> np.uint64(16)) & low).astype(np.int32)] - r * (t - beta + 1)).argmin(1)
+        level = np.take_along_axis(t, best[:, None], 1)[:, 0].astype(np.int64).view(np.uint64)
+        out[j : j + step] = grams[best] ^ (level * np.uint64(0x9E3779B97F4A7C15))
     return _mix(out)
 
 
@@ -225,29 +230,56 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     mixed = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2")
     rest = (
         placed.join(mixed.select("bucket", F.ceil(F.col("n") / F.lit(BLOCK_MEMBERS)).cast("int").alias("blocks")), "bucket")
-        .join(nodes.select("node", "samples"), "node")
+        .join(nodes.select("node", "samples", "buckets"), "node")
+        .join(bodies.select(F.col("doc_id").alias("node"), "text"), "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "node", "class", "samples", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        .select("bucket", "node", "class", "samples", "buckets", "text", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     )
     least_equal = int(np.ceil(SAMPLES * THRESHOLD - SKETCH_SLACK * np.sqrt(SAMPLES * THRESHOLD * (1 - THRESHOLD))))
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node").reset_index(drop=True)
+        empty = pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64)})
+        if pdf["class"].nunique() < 2:
+            return empty
         samples = np.stack([np.frombuffer(x, "<u4") for x in pdf["samples"]])
-        node, of = pdf["node"].to_numpy(), pdf["class"].to_numpy()
+        typical = np.zeros(len(pdf), np.int64)
+        for column in samples.T:
+            values, at, counts = np.unique(column, return_inverse=True, return_counts=True)
+            typical += counts[at]
+        order = np.lexsort((pdf["node"].to_numpy(), -typical))
+        samples, pdf = samples[order], pdf.iloc[order].reset_index(drop=True)
+        keys, bucket = np.stack(pdf["buckets"].to_numpy()), pdf["bucket"].iloc[0]
+        node, own = pdf["node"].to_numpy(), pdf["own"].to_numpy()
+        # With two different blocks, pairs within one block are another task's.
+        apart = pdf["low"].iloc[0] != pdf["high"].iloc[0]
+        root = pd.factorize(pdf["class"])[0]
+        vectors: dict[int, tuple] = {}
+
+        def vector(i):
+            if i not in vectors:
+                vectors[i] = weighted_shingles(word_hashes(pdf["text"].iloc[i]), idf.value)
+            return vectors[i]
+
         a, b = [], []
         for i in range(len(pdf) - 1):
-            later = np.flatnonzero(of[i + 1 :] != of[i]) + i + 1
+            later = np.arange(i + 1, len(pdf))
+            later = later[(root[later] != root[i]) & ((own[later] != own[i]) | (not apart))]
             later = later[(samples[later] == samples[i]).sum(1) >= least_equal]
-            a += [node[i]] * len(later)
-            b += node[later].tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    more = rest.groupBy("bucket", "low", "high").applyInPandas(across, "a long, b long").distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"))
+            if not len(later):
+                continue
+            same = keys[later] == keys[i]
+            later = later[keys[later, same.argmax(1)] == bucket]
+            for j in later.tolist():
+                if root[j] != root[i] and weighted_jaccard(vector(i), vector(j)) >= THRESHOLD:
+                    a.append(node[i])
+                    b.append(node[j])
+                    root[root == root[j]] = root[i]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}) if a else empty
+
+    more = stored(rest.groupBy("bucket", "low", "high").applyInPandas(across, "a long, b long").distinct())
     if not more.isEmpty():
-        found = components(links.unionByName(verified(more)))
+        found = components(links.unionByName(more))
 
     of_node = nodes.select("node_key", "node").join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
     of_node = of_node.select("node_key", F.coalesce("class", "node").alias("class_id"))
