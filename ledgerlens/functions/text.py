@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from functools import reduce
 
@@ -45,9 +44,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def constant(value, schema: str) -> Column:
-    """A list or map as one node that the optimizer folds into a literal, however long it is."""
-    return F.from_json(F.lit(json.dumps(value)), schema)
+def _sql(value) -> str:
+    if isinstance(value, dict):
+        return "named_struct(" + ", ".join(f"'{k}', {_sql(v)}" for k, v in value.items()) + ")"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}D" if isinstance(value, float) else str(value)
+
+
+def constant(values: list | dict) -> Column:
+    """A list (of texts or of records) or a map of texts; made of literals only, so the optimizer folds it into one."""
+    if isinstance(values, dict):
+        return F.expr("map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in values.items()) + ")")
+    return F.expr("array(" + ", ".join(map(_sql, values)) + ")")
 
 
 def none_if_empty(c: Column) -> Column:
@@ -61,7 +70,7 @@ def norm(c: Column) -> Column:
 
 def norm_label(c: Column) -> Column:
     """norm with misread label words put right."""
-    fixed = constant(V.label_typos(), "map<string,string>")
+    fixed = constant(V.label_typos())
     return F.array_join(F.transform(F.split(norm(c), " "), lambda w: F.coalesce(F.try_element_at(fixed, w), w)), " ")
 
 
@@ -125,7 +134,7 @@ def money(text: Column, first: bool = False) -> Column:
 def currency(text: Column) -> Column:
     """ISO code of the first amount's currency sign, or null."""
     sign = F.coalesce(none_if_empty(F.regexp_extract(text, CURRENCY_AMOUNT.removesuffix(r"(?!\s*%)"), 1)), none_if_empty(F.regexp_extract(text, CURRENCY_AMOUNT.removesuffix(r"(?!\s*%)"), 4)))
-    codes = constant(V.CURRENCY_CODES, "map<string,string>")
+    codes = constant(V.CURRENCY_CODES)
     return let(F.upper(F.replace(sign, F.lit("."))), lambda bare: F.coalesce(F.try_element_at(codes, bare), bare))
 
 
@@ -133,7 +142,7 @@ def parse_date(text: Column) -> Column:
     """The first date in the text, day before month; two-digit years from 69 on belong to the last century."""
     token = none_if_empty(F.regexp_extract(text, DATE_TOKEN, 0))
     plain = F.trim(F.regexp_replace(F.replace(token, F.lit(",")), r"[./\-\s]+", " "))
-    months = constant(V.MONTHS, "map<string,string>")
+    months = constant(V.MONTHS)
     english = F.array_join(F.transform(F.split(plain, " "), lambda w: F.coalesce(F.try_element_at(months, F.lower(w)), w)), " ")
 
     def parsed(c: Column) -> Column:
@@ -177,7 +186,8 @@ def looks_like_address(text: Column) -> Column:
 def first_phrase(normal: Column, phrases: list[str], whole_words: bool = True) -> Column:
     """The first of phrases that normal holds."""
     inside = (lambda p: has_words(normal, p)) if whole_words else (lambda p: F.contains(normal, p))
-    return F.get(F.filter(constant(phrases, "array<string>"), inside), 0)
+    any_of = "(?:" + "|".join(map(re.escape, phrases)) + ")"
+    return F.when(normal.rlike(rf"(?:^| ){any_of}(?: |$)" if whole_words else any_of), F.get(F.filter(constant(phrases), inside), 0))
 
 
 def _role_struct(role: str, score: float):
@@ -193,12 +203,13 @@ def _amount_role_of(label: Column) -> Column:
     found = []
     for role, score, phrases in V.roles(V.AMOUNT_ROLES_TEXT):
         found.append(let(first_phrase(label, phrases), _role_struct(role, score)))
-    totals = constant([{"label": a, "score": s} for f, a, s in V.label_aliases() if f == "transaction_amount"], "array<struct<label:string,score:double>>")
+    totals = constant([{"label": a, "score": s} for f, a, s in V.label_aliases() if f == "transaction_amount"])
     def total_role(total: Column) -> Column:
         cap = F.when(starts_words(label, total["label"]), 0.98).otherwise(0.95)
         return F.when(total.isNotNull(), F.struct(F.lit("final_total").alias("role"), total["label"].alias("label"), F.least(total["score"], cap).alias("score")))
 
-    found.append(let(F.get(F.filter(totals, lambda t: has_words(label, t["label"])), 0), total_role))
+    names = "|".join(re.escape(a) for f, a, _ in V.label_aliases() if f == "transaction_amount")
+    found.append(F.when(label.rlike(rf"(?:^| )(?:{names})(?: |$)"), let(F.get(F.filter(totals, lambda t: has_words(label, t["label"])), 0), total_role)))
     return F.coalesce(*found)
 
 
@@ -209,8 +220,9 @@ def date_role(text: Column) -> Column:
 
 def label_field(label: Column) -> Column:
     """struct(field, alias, score): the first alias, in order, that a label equals or begins with; null if none."""
-    table = constant([{"field": f, "alias": a, "score": s} for f, a, s in V.label_aliases()], "array<struct<field:string,alias:string,score:double>>")
-    return let(norm_label(label), lambda normal: F.when(F.length(normal) <= 80, F.get(F.filter(table, lambda t: starts_words(normal, t["alias"])), 0)))
+    table = constant([{"field": f, "alias": a, "score": s} for f, a, s in V.label_aliases()])
+    names = "^(?:" + "|".join(re.escape(a) for _, a, _ in V.label_aliases()) + ")(?: |$)"
+    return let(norm_label(label), lambda normal: F.when((F.length(normal) <= 80) & normal.rlike(names), F.get(F.filter(table, lambda t: starts_words(normal, t["alias"])), 0)))
 
 
 def label_allowed(field: Column, normal: Column, doc_type: Column | None = None) -> Column:
