@@ -190,7 +190,7 @@ ORACLES = {
     "visual_ocr_needed": fx.duck("SELECT doc_id, 1::INTEGER AS page_number FROM fx_invoices WHERE doc_id % 13 = 0 OR doc_id % 17 = 0"),
     "evidence_grounding": """SELECT DISTINCT item_id AS passage_id, doc_id FROM (SELECT item_id, regexp_replace(lower(text), '[^0-9a-z]+', '', 'g') AS p FROM benchmark) b JOIN (SELECT doc_id, regexp_replace(lower(text), '[^0-9a-z]+', '', 'g') AS t FROM documents) d ON p <> '' AND contains(t, p)""",
     "grounded_values": fx.duck("""SELECT 'transaction_amount' AS field_name, count(*) AS n, min(CAST(total AS VARCHAR)) AS least FROM fx_invoices UNION ALL SELECT 'transaction_date', count(*), min(CAST(day AS VARCHAR)) FROM fx_invoices WHERE doc_id % 17 <> 0"""),
-    "quality_scores": """SELECT doc_id, round(blur, 2) AS blur_score, round(bright, 2) AS brightness_score, round(res, 2) AS resolution_score, round(least(100.0::DOUBLE, blur * 0.5::DOUBLE + bright * 0.3::DOUBLE + res * 0.2::DOUBLE), 2) AS page_readability_score, round(ratio, 4) AS colored_pixel_ratio, ratio >= 0.01 AS is_colored FROM (
+    "quality_scores": """SELECT doc_id, round(blur, 2) AS blur_score, round(bright, 2) AS brightness_score, round(res, 2) AS resolution_score, CAST(round(CAST(least(100.0::DOUBLE, blur * 0.5::DOUBLE + bright * 0.3::DOUBLE + res * 0.2::DOUBLE) AS DECIMAL(18,9)), 2) AS DOUBLE) AS page_readability_score, round(ratio, 4) AS colored_pixel_ratio, ratio >= 0.01 AS is_colored FROM (
   SELECT o_orderkey AS doc_id, least(100.0::DOUBLE, greatest(0.0::DOUBLE, CAST(o_orderkey % 70 AS DOUBLE) * 2)) AS blur, 100 - abs(128 - CAST(o_custkey % 256 AS DOUBLE)) / 1.28::DOUBLE AS bright,
   least(100.0::DOUBLE, CAST((600 + o_orderkey % 1400) * (800 + o_custkey % 1200) AS DOUBLE) / 2073600 * 100) AS res, CAST(o_orderkey % 50 AS DOUBLE) / (1000 + o_custkey % 1000) AS ratio FROM orders)""",
 }
