@@ -31,9 +31,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps; it is fitted on the labels of the documents that are left."""
-    chosen = docs.select(*COLUMNS)
-    return keep_good(chosen, fit(chosen, table(spark, sf_dir, "labels")))
+    """Documents that the co-trained classifier keeps. It is fitted on labelled rows of all documents: among those that the
+    rules have left there are too few bad ones to learn from."""
+    return keep_good(docs.select(*COLUMNS), fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
