@@ -294,6 +294,31 @@ def test_cotraining_tells_good_from_bad(spark, docs, none):
     assert quality_cotrain.score(docs, model).count() == docs.count()
 
 
+def test_cotraining_learns_from_every_unlabelled_row(spark):
+    """The sums over Spark equal those of one matrix, and a row counts that no sample of 6,000 would need to have."""
+    rng = np.random.default_rng(5)
+    width = quality_cotrain.TEXT_FEATURES + quality_cotrain.META_FEATURES
+    y = (np.arange(400) % 2).astype(float)
+    x = (rng.normal(size=(400, width)) * 0.1 + (2 * y - 1)[:, None] * 0.3).astype("<f4")
+    pool = (rng.normal(size=(9000, width)) * 0.1 + (2 * (np.arange(9000) % 3 > 0) - 1)[:, None] * 0.3).astype("<f4")
+    df = spark.createDataFrame([(bytearray(v.tobytes()),) for v in pool], "x binary").repartition(5)
+    first = [quality_cotrain.fit_logistic(v, y) for v in quality_cotrain._split(x)]
+    given = quality_cotrain.pseudo_labels(quality_cotrain._split(pool), [first])
+    assert all((g >= 0).sum() > 8000 for g in given)
+    got = quality_cotrain._refit(quality_cotrain._split(x), y, df, 5, [first], first)
+    for v in (0, 1):
+        own, parts = quality_cotrain._split(x)[v], quality_cotrain._split(pool)[v]
+        w = first[v]
+        for _ in range(quality_cotrain.STEPS):
+            sums = list(quality_cotrain._sums(own, y, w))
+            for label in (0, 1):
+                rows = parts[given[v] == label]
+                more = quality_cotrain._sums(rows, np.full(len(rows), float(label)), w)
+                sums = [s + min(1.0, 0.5 * len(y) / len(rows)) * m for s, m in zip(sums, more, strict=True)]
+            w = w - quality_cotrain._step(w, *sums, quality_cotrain.RIDGE)
+        assert np.allclose(got[v], w, atol=1e-2)
+
+
 def test_languages_fuse_evidence(spark, docs):
     text = {"en": "the house and the river with the stones that", "de": "das haus und der fluss mit den steinen die"}
     labelled = spark.createDataFrame([(text[v] * (1 + i % 3), v) for i in range(60) for v in text], "text string, lang string")
