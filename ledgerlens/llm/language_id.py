@@ -4,8 +4,8 @@ Per record the evidence is: the likelihood of its text under smoothed byte-trigr
 their declared language); the language declared in its markup; the suffix of its address; and the prior of its host.
 What declarations and suffixes say about a language, and the host priors, come from grouped aggregation over the text
 decisions of all records. Host priors are smoothed down a hierarchy: all records, domain, host; a record's own text
-decision is taken out of the counts that it is judged by. The languages are the declared ones of the documents, at
-most MAX_LANGUAGES, the most frequent first.
+decision is taken out of the counts that it is judged by. The languages are all declared ones of the documents; models and
+counts are long rows with what was seen only, and plans don't grow with the number of languages.
 
 Defined cases: null or empty texts, addresses, declarations or hosts give no evidence of their kind; without any evidence
 the prior decides; ties go to the alphabetically first language; no documents means no languages and null results;
@@ -16,13 +16,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import stored, table
 
 TRIGRAM_BUCKETS = 1 << 14
-MAX_LANGUAGES = 64
+#: A task counts so many languages at once before it hands over their counts, and judges rows in slices of so many numbers.
+COUNTED_AT_ONCE = 64
+SLICE = 1 << 20
 #: Trigrams are far from independent, so a text counts as at most this many.
 EFFECTIVE_TRIGRAMS = 40.0
 SMOOTHING = 0.5
@@ -37,93 +39,123 @@ def _trigrams(text: str) -> np.ndarray:
     return ((x * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int64)
 
 
-def text_models(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and log-likelihoods [language, trigram bucket] from text and lang of all rows."""
-    rows = labelled.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in rows)
+class TextModels:
+    """Smoothed log-likelihoods of trigram buckets by language. What was never seen in a language has the likelihood of its
+    floor; rows of a bucket hold, for the languages that have it, how far they are above that."""
+
+    def __init__(self, n: int, of: np.ndarray, at: np.ndarray, count: np.ndarray):
+        order = np.lexsort((of, at))
+        self.n, self.of = n, of[order].astype(np.int32)
+        self.above = np.log((count[order] + SMOOTHING) / SMOOTHING)
+        self.starts = np.searchsorted(at[order], np.arange(TRIGRAM_BUCKETS + 1))
+        self.floor = np.log(SMOOTHING / (np.bincount(of, count, n) + SMOOTHING * TRIGRAM_BUCKETS))
+
+    def sums(self, grams: np.ndarray) -> np.ndarray:
+        """The log-likelihood of the trigrams in each language."""
+        seen, times = np.unique(grams, return_counts=True)
+        size = self.starts[seen + 1] - self.starts[seen]
+        entries = np.repeat(self.starts[seen] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return len(grams) * self.floor + np.bincount(self.of[entries], self.above[entries] * np.repeat(times, size), self.n)
+
+
+def text_models(labelled: DataFrame) -> tuple[list[str], TextModels]:
+    """Languages and their models from text and lang of all rows."""
+    languages = sorted(r["lang"] for r in labelled.filter("lang is not null").select("lang").distinct().collect())
     number = {v: i for i, v in enumerate(languages)}
 
+    def rows(counts):
+        of, at, n = [], [], []
+        for i, own in counts.items():
+            found = np.flatnonzero(own)
+            of.append(np.full(len(found), i))
+            at.append(found)
+            n.append(own[found])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in ((of, pa.int32()), (at, pa.int32()), (n, pa.int64()))], names=["of", "at", "n"])
+
     def run(batches):
-        counts = np.zeros((len(languages), TRIGRAM_BUCKETS), np.int64)
+        counts = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text and lang in number:
-                    counts[number[lang]] += np.bincount(_trigrams(text), minlength=TRIGRAM_BUCKETS)
-        of, at = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[of, at], pa.int64())], names=["of", "at", "n"])
-
-    # At most MAX_LANGUAGES * TRIGRAM_BUCKETS rows, whatever the corpus.
+                if text and lang is not None:
+                    i = number[lang]
+                    if i not in counts and len(counts) == COUNTED_AT_ONCE:
+                        yield rows(counts)
+                        counts = {}
+                    own = counts.setdefault(i, np.zeros(TRIGRAM_BUCKETS, np.int64))
+                    own += np.bincount(_trigrams(text), minlength=TRIGRAM_BUCKETS)
+        if counts:
+            yield rows(counts)
+
+    # At most TRIGRAM_BUCKETS rows a language, only of buckets that it has.
     summed = labelled.select("text", "lang").mapInArrow(run, "of int, at int, n long").groupBy("of", "at").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.full((len(languages), TRIGRAM_BUCKETS), SMOOTHING)
-    counts[summed["of"], summed["at"]] += summed["n"]
-    return languages, np.log(counts / counts.sum(1, keepdims=True))
-
-
-def _array(values: list[Column]) -> Column:
-    return F.array(*values)
+    return languages, TextModels(len(languages), *[summed[c].to_numpy(np.int64) for c in ("of", "at", "n")])
 
 
 def identify(records: DataFrame, labelled: DataFrame, keys: list[str]) -> DataFrame:
     """records (keys, text, declared, suffix, domain, host) with text_language, language, posterior."""
+    spark = records.sparkSession
     languages, model = text_models(labelled)
     n = len(languages)
     if not n:
         return records.select(*keys, "declared", "suffix", "host", *[F.lit(None).cast(t).alias(c) for c, t in (("text_language", "string"), ("language", "string"), ("posterior", "double"))])
-    shared = records.sparkSession.sparkContext.broadcast(model.astype(np.float32))
+    shared = spark.sparkContext.broadcast(model)
 
     def likelihoods(batches):
-        table_ = shared.value
-        for batch in batches:
-            out, votes = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                grams = _trigrams(text) if text else ()
-                if len(grams):
-                    sums = table_[:, grams].sum(1, dtype=np.float64) * min(1.0, EFFECTIVE_TRIGRAMS / len(grams))
-                    out.append((sums - sums.max()).tolist())
-                    votes.append(int(sums.argmax()))
-                else:
-                    out.append([0.0] * n)
-                    votes.append(-1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.float64())), pa.array(votes, pa.int32())], names=[*batch.schema.names[:-1], "ll", "vote"])
+        models, step = shared.value, max(1, SLICE // n)
+        for whole in batches:
+            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                out, votes = np.zeros((batch.num_rows, n)), np.full(batch.num_rows, -1, np.int32)
+                for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    grams = _trigrams(text) if text else ()
+                    if len(grams):
+                        sums = models.sums(grams) * min(1.0, EFFECTIVE_TRIGRAMS / len(grams))
+                        out[i], votes[i] = sums - sums.max(), sums.argmax()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, n), pa.int32()), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(votes)], names=[*batch.schema.names[:-1], "ll", "vote"])
 
     about = ["declared", "suffix", "domain", "host"]
     chosen = records.select(*keys, *about, "text")
     schema = ", ".join([f"{c} {t}" for c, t in chosen.dtypes if c != "text"] + ["ll array<double>", "vote int"])
     judged = stored(chosen.mapInArrow(likelihoods, schema))
     voted = judged.filter("vote >= 0")
-    tally = [F.count_if(F.col("vote") == i).cast("double") for i in range(n)]
-    everything = voted.agg(_array(tally).alias("all_counts"))
+    numbers = F.sequence(F.lit(0), F.lit(n - 1))
+    zeros = F.array_repeat(F.lit(0.0), n)
+    all_counts = [0.0] * n
+    for r in voted.groupBy("vote").count().collect():
+        all_counts[r["vote"]] = float(r["count"])
+    everything = spark.createDataFrame([(languages, all_counts, sum(all_counts))], "names array<string>, all_counts array<double>, all_seen double")
 
     def by(level: str) -> DataFrame:
-        return voted.filter(F.col(level).isNotNull()).groupBy(level).agg(_array(tally).alias(f"{level}_counts"))
+        """Votes by language of each value: rows first, then one array a value."""
+        rows = voted.filter(F.col(level).isNotNull()).groupBy(level, "vote").agg(F.count("*").cast("double").alias("n"))
+        found = rows.groupBy(level).agg(F.map_from_entries(F.collect_list(F.struct("vote", "n"))).alias("found"), F.sum("n").alias(f"{level}_seen"))
+        return found.select(level, f"{level}_seen", F.transform(numbers, lambda i: F.coalesce(F.try_element_at("found", i), F.lit(0.0))).alias(f"{level}_counts"))
 
-    own = lambda i: (F.col("vote") == i).cast("double")
-    zeros = F.array(*[F.lit(0.0)] * n)
     df = judged.crossJoin(F.broadcast(everything))  # one row
     for level in about:
         df = df.join(by(level), level, "left")
-    without_own = lambda level: _array([F.coalesce(F.get(f"{level}_counts", F.lit(i)) - own(i), F.lit(0.0)) for i in range(n)])
+    # A record's own vote is in the counts of each level of which it has a value; the sums are numbers beside the arrays.
+    voter = F.when(F.col("vote") >= 0, 1.0).otherwise(0.0)
+    rest = lambda level: F.transform(F.coalesce(f"{level}_counts", zeros), lambda x, i: F.greatest(x - F.when(i == F.col("vote"), 1.0).otherwise(0.0), F.lit(0.0)))
+    seen = lambda level: F.greatest(F.coalesce(f"{level}_seen", F.lit(0.0)) - voter, F.lit(0.0))
     for level in [*about, "all"]:
-        df = df.withColumn(f"{level}_rest", without_own(level))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    df = df.withColumn("all_prior", F.transform("all_rest", lambda x: (x + SMOOTHING) / (total(F.col("all_rest")) + SMOOTHING * n)))
+        df = df.withColumn(f"{level}_rest", rest(level)).withColumn(f"{level}_left", seen(level))
+    df = df.withColumn("all_prior", F.transform("all_rest", lambda x: (x + SMOOTHING) / (F.col("all_left") + SMOOTHING * n)))
     for level, above in (("domain", "all"), ("host", "domain")):
-        seen = total(F.col(f"{level}_rest"))
-        df = df.withColumn(f"{level}_prior", F.zip_with(f"{level}_rest", f"{above}_prior", lambda x, p: (x + HOST_STRENGTH * p) / (seen + HOST_STRENGTH)))  # noqa: B023
+        df = df.withColumn(f"{level}_prior", F.zip_with(f"{level}_rest", f"{above}_prior", lambda x, p: (x + HOST_STRENGTH * p) / (F.col(f"{level}_left") + HOST_STRENGTH)))  # noqa: B023
     # P(value | language) is P(language | value) P(value) / P(language); P(value) is the same for all languages.
     said = lambda level: F.when(F.col(level).isNull(), zeros).otherwise(F.zip_with(f"{level}_rest", "all_rest", lambda x, a: F.log((x + SMOOTHING) / (a + 2 * SMOOTHING))))
-    df = df.withColumn("declared_said", said("declared")).withColumn("suffix_said", said("suffix"))
-    fused = _array([F.get("ll", F.lit(i)) + F.log(F.get("host_prior", F.lit(i))) + F.get("declared_said", F.lit(i)) + F.get("suffix_said", F.lit(i)) for i in range(n)])
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    fused = plus(plus(F.zip_with("ll", "host_prior", lambda x, p: x + F.log(p)), said("declared")), said("suffix"))
     df = df.withColumn("fused", fused).withColumn("top", F.array_max("fused"))
-    names = F.array(*[F.lit(v) for v in languages])
     return df.select(
         *keys,
         "declared",
         "suffix",
         "host",
-        F.when(F.col("vote") >= 0, F.get(names, F.col("vote"))).alias("text_language"),
-        F.get(names, (F.array_position("fused", F.col("top")) - 1).cast("int")).alias("language"),
-        (1 / total(F.transform("fused", lambda x: F.exp(x - F.col("top"))))).alias("posterior"),
+        F.when(F.col("vote") >= 0, F.get("names", F.col("vote"))).alias("text_language"),
+        F.get("names", (F.array_position("fused", F.col("top")) - 1).cast("int")).alias("language"),
+        (1 / F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).alias("posterior"),
     )
 
 

@@ -332,3 +332,24 @@ def test_languages_fuse_evidence(spark, docs):
     assert out["posterior"].between(0, 1).all() and pd.isna(one(102)["text_language"]) and one(102)["language"] in text
     assert language_id.identify(language_id.document_records(docs), docs.select("text", "lang"), ["doc_id"]).count() == docs.count()
     assert language_id.identify(language_id.document_records(docs), docs.limit(0).select("text", "lang"), ["doc_id"]).filter("language is not null").count() == 0
+
+
+def test_languages_beyond_the_most_frequent_are_kept(spark):
+    """90 languages with words of their own; the rarest are declared by one text each."""
+    rng = random.Random(6)
+    words = {f"x{i:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for i in range(90)}
+    text = lambda v: " ".join(rng.choice(words[v]) for _ in range(60))
+    labelled = spark.createDataFrame([(text(v), v) for i, v in enumerate(words) for _ in range(1 + (i < 70) * 3)], "text string, lang string")
+    pages = spark.createDataFrame([(i, None, text(v)) for i, v in enumerate(words)], "page_id long, url string, html string")
+    out = language_id.identify(language_id.page_records(pages), labelled, ["page_id"]).toPandas()
+    assert len(out) == 90 and [r.language for r in out.sort_values("page_id").itertuples()] == list(words)
+
+
+def test_sparse_models_equal_dense_ones(spark):
+    labelled = spark.createDataFrame([("the house and the river", "en"), ("das haus und der fluss", "de"), (None, "fr"), ("text", None)], "text string, lang string")
+    languages, models = language_id.text_models(labelled)
+    counts = np.full((3, language_id.TRIGRAM_BUCKETS), language_id.SMOOTHING)
+    for r in labelled.filter("text is not null and lang is not null").collect():
+        np.add.at(counts[languages.index(r["lang"])], language_id._trigrams(r["text"]), 1)
+    grams = language_id._trigrams("the haus and the haus or the new")
+    assert languages == ["de", "en", "fr"] and np.allclose(models.sums(grams), np.log(counts / counts.sum(1, keepdims=True))[:, grams].sum(1))
