@@ -155,6 +155,26 @@ def test_new_messages_skip_processed_and_repeated(spark):
     assert sorted(map(tuple, P.new_messages(batch, inbox).collect())) == [("a", 1), ("b", 1)]
 
 
+def test_containment_equals_brute_force(spark):
+    """Short passages, glued and hyphenated words, every place across the grams, and repeated characters."""
+    import random
+    import re
+
+    rng = random.Random(8)
+    fold = lambda t: re.sub("[^0-9a-z]+", "", (t or "").lower())
+    words = ["river", "E-Mail", "stone", "aaaa", "7", "Ω", "the"]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(50, None), (51, "...")]
+    texts.append((52, "x" + "Payment by e-mail is due" + "y"))
+    passages = [(0, "mail is due"), (1, "payment by email is due"), (2, "e"), (3, ""), (4, None), (5, "not there at all, whatever"), (6, "a" * 30), (7, "?!")]
+    for i in range(60):
+        text = fold(rng.choice(texts)[1])
+        start = rng.randrange(max(1, len(text)))
+        passages.append((100 + i, text[start : start + rng.randint(1, 60)]))
+    out = R.containment(spark.createDataFrame(passages, "passage_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string"))
+    want = sorted((p, d) for p, a in passages for d, b in texts if fold(a) and fold(a) in fold(b))
+    assert {(0, 52), (1, 52)} <= set(want) and sorted(map(tuple, out.collect())) == want
+
+
 FAST = ["job_status", "outbox_due", "detections_per_type", "note_rules", "iou_pairs", "throughput", "field_metrics", "drift_cube", "quality_scores", "adjacent_pairs"]
 
 
