@@ -214,47 +214,95 @@ def test_repeats(spark, docs, none, rows, monkeypatch, chunk):
     assert sorted(map(tuple, got)) == brute_repeats([(d, t.encode()) for d, t in data])
 
 
-def test_near_duplicates(spark, docs, none, rows, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 20)
-    assert near_dup.near_duplicate_classes(none).count() == 0
-    assert near_dup.near_duplicate_classes(docs).count() == len(rows)
-    rng = random.Random(3)
+def brute_near(data):
+    """(pairs at the threshold, class of each place of data): plain multisets of word tuples, weights by counted document frequencies."""
+    bags = []
+    for _, text in data:
+        words = re.findall("[^\x00-\x20]+", (text or "").lower())
+        bags.append(collections.Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else collections.Counter())
+    n, df = len(data), collections.Counter(itertools.chain(*bags))
+    idf = {s: 1 + round(8 * min(1.0, max(0.0, np.log((n + 1) / (d + 1)) / np.log(n + 1)))) / 8 for s, d in df.items()}
+    weight = [{s: c * idf[s] for s, c in bag.items()} for bag in bags]
+    holders, parent, pairs = collections.defaultdict(list), list(range(n)), set()
+    for i, bag in enumerate(bags):
+        for s in bag:
+            holders[s].append(i)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in {p for own in holders.values() for p in itertools.combinations(own, 2)}:
+        low = sum(min(w, weight[b].get(s, 0)) for s, w in weight[a].items())
+        if low >= 0.8 * (sum(weight[a].values()) + sum(weight[b].values()) - low):
+            pairs.add((a, b))
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    return pairs, [root(i) for i in range(n)]
+
+
+def families(rng, edits):
     vocabulary, data = [f"w{i}" for i in range(3000)], []
     for family in range(4):
         base = [rng.choice(vocabulary) for _ in range(200)]
         for c in range(40):
             words = list(base)
-            for _ in range(rng.choice([0, 2, 4, 5, 6, 7])):
+            for _ in range(rng.choice(edits)):
                 words[rng.randrange(200)] = rng.choice(vocabulary)
             data.append((family * 40 + c, " ".join(words)))
-    data += [(500, ""), (501, None), (502, "a b"), (503, "a b")]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(df).collect()}
-    idf = near_dup.document_frequencies(df.fillna("", ["text"]))
-    vectors, parent = [near_dup.weighted_shingles(near_dup.word_hashes(t or ""), idf) for _, t in data], list(range(len(data)))
+    return data
 
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
 
-    for a, b in itertools.combinations(range(len(data)), 2):
-        if near_dup.weighted_jaccard(vectors[a], vectors[b]) >= near_dup.THRESHOLD:
-            x, y = sorted((root(a), root(b)))
-            parent[y] = x
-    assert got == {d: data[root(i)][0] for i, (d, _) in enumerate(data)}
+@pytest.mark.parametrize("block", [15, 800])
+def test_near_duplicates(spark, docs, none, rows, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(near_dup, "CHUNK_BYTES", 30_000)
+    monkeypatch.setattr(near_dup, "BUCKET_BYTES", 40_000)
+    assert near_dup.near_duplicate_classes(none).count() == 0
+    assert near_dup.near_duplicate_classes(docs).count() == len(rows)
+    data = families(random.Random(3), [0, 2, 4, 5, 6, 7])
+    data += [(500, ""), (501, None), (502, "a b"), (503, "A  b"), (504, "one two " * 60 + "three"), (505, "one two " * 60 + "four"), (506, "x" * 3000)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {d: data[r][0] for r, (d, _) in zip(brute_near(data)[1], data, strict=True)}
+
+
+def test_equal_ids_with_different_texts_are_judged_each(spark):
+    a, b = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight")
+    out = near_dup.classified(spark.createDataFrame([(1, a), (1, b), (2, a), (2, a), (None, a)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in out) == [(0, 0), (1, 1), (1, 1), (2, 1), (2, 1)]
+    assert len({r["class_no"] for r in out if r["doc_id"]}) == 2
+
+
+def test_near_copies_are_recalled(spark):
+    """Of the pairs at the threshold in families of near copies, at least 0.99 end in one class, and no class is wider than theirs."""
+    data = families(random.Random(11), [0, 1, 2, 3, 8, 20])
+    pairs, classes = brute_near(data)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    found = sum(got[data[a][0]] == got[data[b][0]] for a, b in pairs)
+    assert len(pairs) > 500 and found >= 0.99 * len(pairs)
+    assert all(data[classes[i]][0] == data[classes[data.index((c, t))]][0] for i, (d, _) in enumerate(data) for c, t in data if c == got[d])
+
+
+def test_components_of_long_chains(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
+    found = {r["node"]: r["class"] for r in near_dup.components(links).collect()}
+    assert found == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
 
 
 def test_sketch_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
-    grams = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
-    w = rng.uniform(0.5, 3, 400).astype(np.float32)
+    grams = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    steps = rng.integers(0, near_dup.IDF_STEPS + 1, 400).astype(np.uint8)
+    w = 1 + steps / near_dup.IDF_STEPS
     agree, want = 0, 0.0
-    for shift in range(30):
+    for shift in range(100):
         a, b = np.arange(shift, shift + 200), np.arange(shift + 60, shift + 260)
-        want += float(w[shift + 60 : shift + 200].sum() / w[shift : shift + 260].sum()) / 30
-        agree += (near_dup.sketch(grams[a], w[a]) == near_dup.sketch(grams[b], w[b])).mean() / 30
-    assert abs(agree - want) < 0.1
+        want += float(w[shift + 60 : shift + 200].sum() / w[shift : shift + 260].sum()) / 100
+        agree += (near_dup.sketch(grams[a], steps[a]) == near_dup.sketch(grams[b], steps[b])).mean() / 100
+        exact = near_dup.similarities([(grams[a], w[a]), (grams[b], w[b])])[0, 1]
+        assert exact == pytest.approx(w[shift + 60 : shift + 200].sum() / w[shift : shift + 260].sum())
+    assert abs(agree - want) < 0.05
 
 
 def brute_top(vectors, k):
