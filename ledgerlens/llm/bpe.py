@@ -7,8 +7,8 @@ unlinked and the two new neighbour pairs are pushed. Decoding concatenates the v
 Texts are cut at the spaces where no pre-token can cross, and what such a cut yields is kept in a bounded two-generation
 cache for the life of the Python worker, as words recur across texts.
 
-Defined cases: a null text counts as empty; the string of a special token becomes its id, as the tokenizer file states;
-rows that repeat are separate rows; no rows give no rows.
+Defined cases: a null text counts as empty; the string of a special token becomes its id, as the tokenizer file states; a long
+text without spaces is merged as one list, in memory linear in it, and isn't cached; rows that repeat are separate rows; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 
 from ledgerlens.llm.common import table, text_or_empty
 
-#: Entries of one generation of a worker's cache.
+#: Entries of one generation of a worker's cache, and the longest key that it keeps; together they bound its bytes.
 CACHE_ENTRIES = 450_000
+LONGEST_KEY = 64
 #: Unicode white space.
 WHITE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -48,7 +49,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class TwoGenerations(dict):
-    """A bounded cache: what was used in the last two generations stays. make(key) fills a miss."""
+    """A bounded cache: what was used in the last two generations stays, long keys never. make(key) fills a miss."""
 
     def __init__(self, make, entries: int = CACHE_ENTRIES):
         super().__init__()
@@ -58,6 +59,8 @@ class TwoGenerations(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if isinstance(key, str) and len(key) > LONGEST_KEY:
+                return value
         if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()

@@ -1,19 +1,19 @@
-"""Packing of documents into sequences of bounded length by best fit and swap-based local search.
+"""Packing of documents into sequences of bounded length by swap-based local search.
 
 Token counts come from the tokenizer; only documents over the capacity are cut. Pieces are dealt into blocks of bounded
-size by a hash of their id and each block is packed on its own: best fit decreasing gives a start, then underfull bins
-exchange documents. A move, a one-for-one or a two-for-one exchange is made if it increases the sum of squared fills, that
-is if it makes the fuller of two bins fuller still; the emptiest bins so drain until they are empty and go. What is still loose
-after that (bins that aren't nearly full) is dealt anew into blocks of the same bounded size and packed once more.
+size by a hash of their id and each block is packed on its own. Next fit gives a quick start, about a third above the least number
+of bins; the search does the rest: the fullest underfull bin is filled by moves, one-for-one and two-for-one exchanges out of
+less full ones, each of which increases the sum of squared fills, until none is left; then the next one. Emptied bins go. This is
+repeated until a sweep over all underfull bins changes nothing. Bins of a block that aren't nearly full are dealt anew into
+blocks of the same bounded size and packed once more.
 
 Defined cases: a null text counts as empty and takes the closing id alone; rows with equal ids are packed as separate
-documents; extra columns are ignored; no rows give no rows.
+documents; a very long text becomes as many full pieces as it fills and one more; extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
 
-import bisect
-import re
+import heapq
 import zlib
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.bpe import BytePairCoder, default_vocabulary
+from ledgerlens.llm.bpe import TwoGenerations, cuts, default_vocabulary
 from ledgerlens.llm.common import stored, table, text_or_empty
 
 CAPACITY = 2048
@@ -31,20 +31,11 @@ CLOSING_ID = 0
 BLOCK_PIECES = 10_000
 #: Bins filled less than this share after the first round are opened again.
 NEARLY_FULL = 0.95
-#: Sweeps of the local search over the underfull bins of a block.
-SWEEPS = 4
-
-
-#: Texts of these characters only are split the same by both libraries, whichever Unicode version either knows.
-PLAIN = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
 
 
 class TokenCounter:
-    """Ids as the tokenizers library gives them.
-
-    If the vocabulary's ids follow its merges, a rank-based encoder built from the same file gives the same ids several
-    times faster; it takes the texts of PLAIN characters. All others go through the tokenizers library itself.
-    """
+    """Ids by the tokenizers library. A text is cut before words where no pre-token crosses the cut, and what the library makes of
+    each cut is kept in a bounded cache, as words recur; texts with the string of a special token go to it whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,24 +43,19 @@ class TokenCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.fast = self._ranked(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.after_space = TwoGenerations(lambda word: self.whole(" " + word))
+        self.at_start = TwoGenerations(self.whole, 10_000)
 
-    @staticmethod
-    def _ranked(path: str):
-        import public_tokenizers
-        import tiktoken
-
-        coder = BytePairCoder(path)
-        words = {data: i for i, data in coder.vocabulary.items() if i not in coder.special.values()}
-        if coder.made != list(range(256, 256 + len(coder.made))) or sorted(coder.byte_ids) != list(range(256)):
-            return None
-        return tiktoken.Encoding("from_vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=words, special_tokens=coder.special)
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of the text."""
-        if self.fast is not None and PLAIN.search(text) is None:
-            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if any(s in text for s in self.special):
+            return self.whole(text)
+        first, rest = cuts(text)
+        return (self.at_start[first] if first else b"") + b"".join(map(self.after_space.__getitem__, rest))
 
 
 _counters: dict[str, TokenCounter] = {}
@@ -106,111 +92,138 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, id_col: str, text_col:
     return chosen.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins of item numbers: longest items first, each into the fullest bin that takes it."""
+def next_fit(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins of item numbers: each item goes into the last bin if it fits, else into a new one."""
     bins: list[list[int]] = []
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    rooms: list[int] = []  # sorted rooms that some bin has
-    for item in np.argsort(-lengths, kind="stable").tolist():
-        need = int(lengths[item])
-        at = bisect.bisect_left(rooms, need)
-        if at == len(rooms):
-            bins.append([item])
-            b, room = len(bins) - 1, capacity
-        else:
-            room = rooms[at]
-            b = by_room[room].pop()
-            bins[b].append(item)
-            if not by_room[room]:
-                rooms.pop(at)
-        left = room - need
-        if left:
-            if not by_room[left]:
-                bisect.insort(rooms, left)
-            by_room[left].append(b)
+    room = 0
+    for i, n in enumerate(lengths):
+        if n > room:
+            bins.append([])
+            room = capacity
+        bins[-1].append(i)
+        room -= n
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, sweeps: int = SWEEPS) -> list[list[int]]:
-    """Bins after moves and exchanges between underfull bins, each raising the sum of squared fills."""
-    size = lengths.tolist()
+class Stock:
+    """The items of open bins by length, with the stocked lengths as bits: bit s of sizes, bit capacity - s of mirrored."""
+
+    def __init__(self, size: list[int], capacity: int):
+        self.size, self.capacity, self.held, self.sizes, self.mirrored = size, capacity, {}, 0, 0
+
+    def put(self, item: int) -> None:
+        s = self.size[item]
+        self.held.setdefault(s, {})[item] = None
+        self.sizes |= 1 << s
+        self.mirrored |= 1 << (self.capacity - s)
+
+    def take(self, item: int) -> None:
+        s = self.size[item]
+        del self.held[s][item]
+        if not self.held[s]:
+            self.sizes &= ~(1 << s)
+            self.mirrored &= ~(1 << (self.capacity - s))
+
+    def longest(self, most: int) -> int:
+        """The largest stocked length up to most, or -1."""
+        return (self.sizes & ((2 << most) - 1)).bit_length() - 1
+
+    def item(self, length: int, but: int | None = None) -> int | None:
+        return next((i for i in self.held[length] if i != but), None)
+
+    def pairs(self, total: int):
+        """Two items whose lengths add up to total: for each way one pair, the longest first item first."""
+        ways = self.sizes & (self.mirrored >> (self.capacity - total)) if total <= self.capacity else 0
+        while ways and 2 * (longer := ways.bit_length() - 1) >= total:
+            ways ^= 1 << longer
+            one = self.item(longer)
+            other = self.item(total - longer, one)
+            if other is not None:
+                yield one, other
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins after moves and exchanges between underfull bins, each raising the sum of squared fills, until none is left."""
+    size = [int(n) for n in lengths]
+    bins = [list(b) for b in bins]
     fill = [sum(size[i] for i in b) for b in bins]
-    for _ in range(sweeps):
-        open_bins = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: -fill[b])
-        if len(open_bins) < 2:
-            break
-        holders: dict[int, list[int]] = {}
-        for b in open_bins:
-            for i in bins[b]:
-                holders.setdefault(size[i], []).append(i)
-        where = {i: b for b in open_bins for i in bins[b]}
-        stocked = sorted(holders)
-        changed = False
-
-        def relocate(item, to, holders=holders, where=where):
-            b = where[item]
-            bins[b].remove(item)
-            fill[b] -= size[item]
-            bins[to].append(item)
-            fill[to] += size[item]
-            where[item] = to
-
-        def find(length, target, stocked=stocked, holders=holders, where=where):
-            """An item of the largest stocked length up to length, from a bin no fuller than target."""
-            at = bisect.bisect_right(stocked, length) - 1
-            for s in stocked[max(0, at - 7) : at + 1][::-1]:
-                for i in holders[s][-8:][::-1]:
-                    b = where[i]
-                    if b != target and fill[b] <= fill[target]:
-                        return i
-            return None
-
-        for target in open_bins:
-            if not fill[target]:
-                continue
-            while (room := capacity - fill[target]) > 0:
-                moved = find(room, target)
-                if moved is None:
-                    break
-                relocate(moved, target)
+    while _sweep(bins, fill, size, capacity):
+        pass
+    return [b for b in bins if b]
+
+
+def _sweep(bins: list[list[int]], fill: list[int], size: list[int], capacity: int) -> bool:
+    """Fill each underfull bin, the fullest first, out of those that are still open; whether anything changed."""
+    stock, where, closed, changed = Stock(size, capacity), {}, set(), False
+    queue = [(-f, b) for b, f in enumerate(fill) if 0 < f < capacity]
+    for _, b in queue:
+        for i in bins[b]:
+            where[i] = b
+            stock.put(i)
+    heapq.heapify(queue)
+
+    def shift(item: int, to: int) -> None:
+        bins[where[item]].remove(item)
+        fill[where[item]] -= size[item]
+        bins[to].append(item)
+        fill[to] += size[item]
+        where[item] = to
+
+    def one_for_one(target: int, room: int):
+        """(gain, item out, items in) of the best exchange."""
+        options = ((stock.longest(s + room) - s, i) for s, i in {size[i]: i for i in bins[target]}.items())
+        gain, out = max(options, key=lambda x: x[0], default=(0, None))
+        return (gain, out, (stock.item(size[out] + gain),)) if gain > 0 else (0, None, ())
+
+    def two_for_one(target: int, room: int, least: int):
+        """The first exchange of the largest gain above least whose displaced item fits and that raises the squared fill."""
+        for gain in range(room, least, -1):
+            for s, out in {size[i]: i for i in bins[target]}.items():
+                for one, other in stock.pairs(s + gain):
+                    a, b = where[one], where[other]
+                    filled = fill[a] - size[one] + s - (size[other] if a == b else 0)
+                    raised = (fill[target] + gain) ** 2 - fill[target] ** 2 + filled**2 - fill[a] ** 2
+                    raised += (fill[b] - size[other]) ** 2 - fill[b] ** 2 if a != b else 0
+                    if filled <= capacity and raised > 0:
+                        return gain, out, (one, other)
+        return 0, None, ()
+
+    while queue:
+        known, target = heapq.heappop(queue)
+        if target in closed or not fill[target]:
+            continue
+        if -known != fill[target]:
+            heapq.heappush(queue, (-fill[target], target))
+            continue
+        closed.add(target)
+        for i in bins[target]:
+            stock.take(i)
+        while (room := capacity - fill[target]) > 0:
+            if (length := stock.longest(room)) >= 0:
+                item = stock.item(length)
+                stock.take(item)
+                shift(item, target)
                 changed = True
-            room = capacity - fill[target]
-            if not room:
                 continue
-            best = None
-            for out in sorted(set(bins[target]), key=lambda i: size[i])[:16]:
-                one = find(size[out] + room, target)
-                if one is not None and size[one] > size[out] and (best is None or size[one] - size[out] > best[0]):
-                    best = (size[one] - size[out], out, (one,))
-                if best and best[0] == room:
-                    break
-                # two for one: a first item of about half, a second that fills the rest
-                for share in (2, 3):
-                    first = find((size[out] + room) // share, target)
-                    if first is None or first == out:
-                        continue
-                    second = find(size[out] + room - size[first], target)
-                    if second is not None and second != first and (gain := size[first] + size[second] - size[out]) > (best[0] if best else 0):
-                        best = (gain, out, (first, second))
-            if best is not None and 0 < best[0] <= room:
-                gain, out, ins = best
-                source = where[ins[0]]
-                new_source = fill[source] + size[out] - size[ins[0]] - (size[ins[1]] if len(ins) > 1 and where[ins[1]] == source else 0)
-                new_target, moved_bins = fill[target] + gain, {where[i] for i in ins}
-                before = fill[target] ** 2 + sum(fill[b] ** 2 for b in moved_bins)
-                after = new_target**2 + new_source**2 + sum((fill[b] - size[ins[1]]) ** 2 for b in moved_bins - {source})
-                if new_source <= capacity and after > before:
-                    for i in ins:
-                        relocate(i, target)
-                    relocate(out, source)
-                    changed = True
-        if not changed:
-            break
-    return [b for b in bins if b]
+            gain, out, into = one_for_one(target, room)
+            if gain < room:
+                better = two_for_one(target, room, gain)
+                gain, out, into = better if better[0] else (gain, out, into)
+            if not gain:
+                break
+            home = where[into[0]]
+            for item in into:
+                stock.take(item)
+                shift(item, target)
+            shift(out, home)
+            stock.put(out)
+            heapq.heappush(queue, (-fill[home], home))
+            changed = True
+    return changed
 
 
 def pack_block(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
-    return local_search(best_fit(lengths, capacity), lengths, capacity)
+    return local_search(next_fit(lengths.tolist(), capacity), lengths, capacity)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
@@ -239,10 +252,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
         return df.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(salt)), F.lit(blocks)))
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, full boolean"
-    n_pieces = pieces.count()
-    first = stored(blocked(pieces, n_pieces, 1).groupBy("block").applyInPandas(packer(0), kinds))
-    if n_pieces <= block_pieces:  # one block has seen all pieces together
-        return first.drop("full")
+    first = stored(blocked(pieces, pieces.count(), 1).groupBy("block").applyInPandas(packer(0), kinds))
     loose = first.filter("not full").select(*keys)
     again = blocked(loose, loose.count(), 2).groupBy("block").applyInPandas(packer(1), kinds)
     return first.filter("full").drop("full").unionByName(again.drop("full"))

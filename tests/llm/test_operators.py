@@ -96,6 +96,25 @@ def test_local_search_raises_squared_fill():
         assert sum(sizes[b].sum() ** 2 for b in out) > sum(sizes**2) and len(out) < 60
 
 
+def test_local_search_empties_bins_down_to_the_bound():
+    """The start alone is far from the bound; what closes the gap is the search."""
+    lengths = np.clip(np.random.default_rng(1).lognormal(6, 1, 3000), 1, 2048).astype(int)
+    start = packing.next_fit(lengths.tolist(), 2048)
+    out = packing.pack_block(lengths)
+    bound = -(-int(lengths.sum()) // 2048)
+    assert len(start) > 1.2 * bound and len(out) <= bound + 1
+    assert sorted(itertools.chain(*out)) == list(range(3000)) and max(lengths[b].sum() for b in out) <= 2048
+    hot = packing.pack_block(np.full(400, 700))
+    assert len(hot) == 200
+
+
+def test_two_for_one_exchanges_are_made():
+    """Neither a move nor a one-for-one exchange raises the squared fill here: 9 goes for 6 and 4."""
+    lengths = np.array([9, 1, 6, 4])
+    out = packing.local_search([[0, 1], [2, 3]], lengths, 12)
+    assert sorted(int(lengths[b].sum()) for b in out) == [9, 11]
+
+
 def test_licenses(docs, none, rows):
     assert license_scan.scan_licenses(none).count() == 0
     out = license_scan.scan_licenses(docs).toPandas()
