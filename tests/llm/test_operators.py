@@ -337,6 +337,8 @@ def brute_top(vectors, k):
 def test_top_products(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
     monkeypatch.setattr(topk, "QUERY_ROWS", 7)
+    monkeypatch.setattr(topk, "MEETING_QUERIES", 2)
+    monkeypatch.setattr(topk, "MEETING_BLOCKS", 3)
     rng = np.random.default_rng(6)
     vectors = [(i, (rng.normal(size=8) * rng.lognormal()).tolist()) for i in range(400)]
     vectors += [(400, None), (401, [float("nan")] * 8), (402, [None] * 8), (403, [float("inf")] * 8), (410, [0.0] * 8), (411, []), (420, [1.0, 2.0]), (430, [1.0, 2.0]), (440, vectors[3][1]), (441, vectors[3][1]), (None, [1.0] * 8)]
@@ -346,6 +348,26 @@ def test_top_products(spark, monkeypatch):
     assert topk.top_products(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_products_of_huge_components(spark):
+    """Products beyond doubles are exact; scores beyond a long end at its range; what scaling makes infinite takes no part."""
+    big = 2.0**40 / 1024
+    vectors = [(0, [big, 3.0]), (1, [big, 1 / 1024]), (2, [big, 2 / 1024]), (3, [-big, 0.0]), (4, [1e300, 0.0]), (5, [1e307, 0.0]), (10, [0.5, 2.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_products(df, df.filter("vec_id % 10 = 0"), k=9).collect()))
+    scaled = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors if i != 5}
+    want = []
+    for q in (0, 10):
+        score = {c: min(2**63 - 1, max(-(2**63), sum(x * y for x, y in zip(scaled[q], v, strict=True)))) for c, v in scaled.items() if c != q}
+        want += [(q, r + 1, c, s) for r, (c, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0])))]
+    assert got == sorted(want)
+
+
+def test_blocks_that_cannot_win_are_not_paired():
+    q, bound = np.array([[10.0, 0.0]]), np.array([200.0])
+    longest, lows, highs = np.array([10.0, 50.0, 50.0]), np.array([[0.0, 0], [0, 0], [0, 40]]), np.array([[10.0, 5], [30, 40], [15, 50]])
+    assert topk.can_win(q, bound, longest, lows, highs).tolist() == [False, True, False]
+
+
 def test_cotraining_tells_good_from_bad(spark, docs, none):
     assert quality_cotrain.score(none, quality_cotrain.fit(none, spark.createDataFrame([], "doc_id long, quality int, toxic int"))).count() == 0
     rng = random.Random(2)
