@@ -1,19 +1,25 @@
 """Quality rules with a robust multivariate outlier test, in DataFrame operations only.
 
 Per text: counts of words, characters, symbols, repeated lines and repeated three-word windows. Five transformed
-statistics form a vector. For every language and source a minimum-covariance-determinant estimate is fitted to those vectors:
-from medians and median deviations, CONCENTRATION_STEPS times the CORE share of rows with the smallest Mahalanobis
-distances gives the next mean and covariance. A row whose distance from its cell's estimate exceeds CUTOFF is rejected. All
-fitting is grouped aggregation over the small table of vectors, so a cell that holds a third of all rows is summed in parts.
-
-Defined cases: a null text counts as empty and fails the base rule; null language or source is a value like any other; cells
-under MIN_CELL rows are pooled by language, and languages under MIN_CELL rows altogether; a pool still smaller judges nobody
-an outlier. Rows that repeat are separate rows. No rows give no rows. Only rows that pass the base rule are fitted.
+statistics, rounded to a grid of 1 / GRID, form a vector. Rows that pass the base rule are aggregated to distinct vectors with
+weights, and for every language and source, every language, and all rows a minimum-covariance-determinant estimate is
+fitted to them: concentration steps (the CORE share of rows with the smallest Mahalanobis distances gives the next mean and
+covariance) from three starts (medians and median deviations; all rows; rows near the medians) until the determinant falls no
+more; of the starts the one with the smallest determinant counts. A cell's estimate is then weighted toward that of its
+language, and this toward that of all rows, as if the parent were SHRINK rows of the cell, so a small cell needs no rule of
+its own. A row whose distance from its cell's estimate exceeds CUTOFF is rejected.
+
+Values on the grid have exact sums, and core shares are taken from counts by distance bin, so verdicts don't depend on how
+rows are partitioned. All fitting is grouped aggregation over distinct vectors, so a cell with a third of all rows is summed in parts.
+
+Defined cases: a null text counts as empty and fails the base rule; null language or source is a value like any other; a
+very long text is one row like any other; rows that repeat are separate rows, tied distances fall on the same side; no
+rows give no rows, and without rows that pass the base rule nothing is fitted. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import cut, small, stored, table, text_or_empty
@@ -21,9 +27,14 @@ from ledgerlens.llm.common import cut, small, stored, table, text_or_empty
 SPACES = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_CELL = 100
 CORE = 0.75
-CONCENTRATION_STEPS = 3
+#: A parent's estimate counts as so many rows of the cell.
+SHRINK = 100.0
+GRID = 64
+#: Bins of distances: so many per doubling of 1 + distance.
+DISTANCE_BINS = 64
+#: Concentration goes on while it lowers the determinant by more than this share.
+LEAST_GAIN = 1e-6
 #: Makes the core's covariance consistent at a normal sample: 0.75 / P(chi2 with 7 degrees <= its 0.75 point with 5 degrees).
 CONSISTENCY = 1.41
 #: Chi-square with 5 degrees of freedom exceeds this once in 100,000 rows.
@@ -74,41 +85,40 @@ def text_counts(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) ->
 
 def _vectors(counts: DataFrame) -> DataFrame:
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    grid = lambda c: F.round(c * GRID) / GRID
     return (
         counts.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-        .withColumn("log_words", F.log1p(words))
-        .withColumn("log_word_length", F.log1p(F.col("word_chars") / words))
-        .withColumn("symbol_rate", F.log1p(1000 * F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))))
-        .withColumn("line_repeats", F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))))
-        .withColumn("word_repeats", F.sqrt(F.col("n_repeat_words") / words))
+        .withColumn("log_words", grid(F.log1p(words)))
+        .withColumn("log_word_length", grid(F.log1p(F.col("word_chars") / words)))
+        .withColumn("symbol_rate", grid(F.log1p(1000 * F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)))))
+        .withColumn("line_repeats", grid(F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)))))
+        .withColumn("word_repeats", grid(F.sqrt(F.col("n_repeat_words") / words)))
     )
 
 
-def _cells(vectors: DataFrame, groups: list[str]) -> DataFrame:
-    """Each row's cell: its groups if enough fitted rows share them, else fewer of them; null where even all rows are too few."""
-    fitted = vectors.filter(~F.col("base_failed"))
-    level, names = vectors, [F.coalesce(F.col(g).cast("string"), F.lit("\u0001")) for g in groups]
-    keys = []
-    for depth in range(len(groups), 0, -1):
-        key = F.concat_ws("\u0002", *names[:depth], F.lit(str(depth)))
-        sizes = fitted.groupBy(key.alias(f"key{depth}")).agg(F.count("*").alias(f"size{depth}"))
-        level = level.withColumn(f"key{depth}", key).join(small(sizes, sizes.count()), f"key{depth}", "left")
-        keys.append(F.when(F.col(f"size{depth}") >= MIN_CELL, F.col(f"key{depth}")))
-    enough = fitted.limit(MIN_CELL).count() >= MIN_CELL  # asks only whether so many rows exist
-    keys.append(F.lit("all") if enough else F.lit(None).cast("string"))
-    return level.withColumn("cell", F.coalesce(*keys)).select(*vectors.columns, "cell")
+def _cell(groups: list[str], depth: int) -> Column:
+    """The name of a row's cell that its first depth groups make."""
+    return F.concat_ws("\u0002", F.lit(str(depth)), *[F.coalesce(F.col(g).cast("string"), F.lit("\u0001")) for g in groups[:depth]])
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    names = list(STATS)
-    n = F.count("*")
-    means = [F.avg(a).alias(f"mean_{a}") for a in names]
-    covs = [F.covar_pop(a, b).alias(f"cov_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
-    return rows.groupBy("cell").agg(n.alias("n"), *means, *covs)
+def _points(vectors: DataFrame, groups: list[str]) -> DataFrame:
+    """cell, parent, w and the statistics: distinct vectors of rows that pass the base rule, with weights, in their cell at every level."""
+    levels = [F.struct(_cell(groups, d).alias("cell"), (_cell(groups, d - 1) if d else F.lit(None).cast("string")).alias("parent")) for d in range(len(groups) + 1)]
+    distinct = vectors.filter(~F.col("base_failed")).groupBy(*groups, *STATS).agg(F.count("*").cast("double").alias("w"))
+    return distinct.select(F.explode(F.array(*levels)).alias("at"), "w", *STATS).groupBy("at.cell", "at.parent", *STATS).agg(F.sum("w").alias("w"))
+
 
+def _moments(rows: DataFrame, keys: tuple[str, ...] = ("cell",)) -> DataFrame:
+    """Weight, means and covariances of each cell; sums of values on the grid are exact, in whatever order."""
+    names, w = list(STATS), F.col("w") if "w" in rows.columns else F.lit(1.0)
+    sums = [F.sum(w * F.col(a)).alias(f"sum_{a}") for a in names] + [F.sum(w * F.col(a) * F.col(b)).alias(f"sum_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
+    mean = lambda a: F.col(f"sum_{a}") / F.col("n")
+    covs = [(F.col(f"sum_{a}_{b}") / F.col("n") - mean(a) * mean(b)).alias(f"cov_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
+    return rows.groupBy(*keys).agg(F.sum(w).alias("n"), *sums).select(*keys, "n", *[mean(a).alias(f"mean_{a}") for a in names], *covs)
 
-def _with_factor(params: DataFrame, scale: float) -> DataFrame:
-    """Cholesky factor of scale * covariance + granted variances, one column an entry."""
+
+def _with_factor(params: DataFrame, scale: float, keep: tuple[str, ...] = ("cell",)) -> DataFrame:
+    """Cholesky factor of scale * covariance + granted variances, one column an entry, and the logarithm of its determinant."""
     names = list(STATS)
     out = params
     for i, a in enumerate(names):
@@ -117,7 +127,8 @@ def _with_factor(params: DataFrame, scale: float) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    return out.select("cell", *[f"mean_{a}" for a in names], *[f"l_{i}_{j}" for i in range(len(names)) for j in range(i + 1)])
+    log_det = sum((F.log(f"l_{i}_{i}") for i in range(1, len(names))), F.log("l_0_0")) * 2
+    return out.select(*keep, *[f"mean_{a}" for a in names], *[f"l_{i}_{j}" for i in range(len(names)) for j in range(i + 1)], log_det.alias("log_det"))
 
 
 def _distance() -> list[Column]:
@@ -133,11 +144,79 @@ def _distance() -> list[Column]:
     return [*steps, ("distance", square)]
 
 
-def _measured(rows: DataFrame, params: DataFrame, n_cells: int, how: str = "inner") -> DataFrame:
-    out = rows.join(small(params, n_cells), "cell", how)
+def _measured(rows: DataFrame, params: DataFrame, n_params: int, how: str = "inner", keep: tuple[str, ...] = ()) -> DataFrame:
+    out = rows.join(small(params, n_params), "cell", how)
     for name, column in _distance():
         out = out.withColumn(name, column)
-    return out.select(*rows.columns, "distance")
+    return out.select(*rows.columns, *keep, "distance")
+
+
+def _medians(rows: DataFrame, names: list[str]) -> DataFrame:
+    """cell and the weighted lower median of each named column: from counts by value, of which the grid allows few."""
+    long = rows.select("cell", "w", F.explode(F.array(*[F.struct(F.lit(a).alias("stat"), F.col(a).alias("v")) for a in names])).alias("x")).groupBy("cell", "x.stat", "x.v").agg(F.sum("w").alias("w"))
+    along = Window.partitionBy("cell", "stat")
+    placed = long.withColumn("below", F.sum("w").over(along.orderBy("v"))).withColumn("all", F.sum("w").over(along))
+    middle = placed.filter(2 * F.col("below") >= F.col("all")).groupBy("cell", "stat").agg(F.min("v").alias("v"))
+    return middle.groupBy("cell").agg(*[F.max(F.when(F.col("stat") == a, F.col("v"))).alias(f"mid_{a}") for a in names])
+
+
+def _starts(points: DataFrame, n_cells: int) -> DataFrame:
+    """cell, start and estimates to begin with: medians and their deviations; all rows; rows near the medians in every statistic."""
+    names = list(STATS)
+    middle = cut(_medians(points, names))
+    off = points.join(small(middle, n_cells), "cell").select("cell", "w", *names, *[F.abs(F.col(a) - F.col(f"mid_{a}")).alias(f"off_{a}") for a in names])
+    spread = cut(_medians(off.drop(*names).withColumnsRenamed({f"off_{a}": a for a in names}), names).withColumnsRenamed({f"mid_{a}": f"mad_{a}" for a in names}))
+    covs = [F.pow(F.col(f"mad_{a}") * 1.4826, F.lit(2)).alias(f"cov_{a}_{b}") if a == b else F.lit(0.0).alias(f"cov_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
+    by_median = middle.join(spread, "cell").select("cell", F.lit(0).alias("start"), *[F.col(f"mid_{a}").alias(f"mean_{a}") for a in names], *covs)
+    near = off.join(small(spread, n_cells), "cell")
+    for a in names:
+        near = near.filter(F.col(f"off_{a}") <= 2 * (1.4826 * F.col(f"mad_{a}") + STATS[a]))
+    shape = by_median.columns
+    of_all, of_near = (_moments(rows).withColumn("start", F.lit(i)).select(shape) for i, rows in ((1, points), (2, near)))
+    return _with_factor(by_median.unionByName(of_all).unionByName(of_near), 1.0, ("cell", "start"))
+
+
+def mcd(points: DataFrame) -> DataFrame:
+    """cell, n, means and covariances of the core with the smallest determinant, for every cell of points (cell, w, statistics)."""
+    points = points.select("cell", "w", *STATS)
+    n_cells = points.select("cell").distinct().count()
+    params, best = cut(_starts(points, n_cells)), None
+    bins = F.floor(F.log2(1 + F.col("distance")) * DISTANCE_BINS).cast("int")
+    group = ("cell", "start")
+    along = Window.partitionBy(*group)
+    while True:
+        measured = _measured(points, params.select(*[c for c in params.columns if c != "log_det"]), 3 * n_cells, keep=("start",)).withColumn("bin", bins)
+        counts = measured.groupBy(*group, "bin").agg(F.sum("w").alias("w"))
+        placed = counts.withColumn("below", F.sum("w").over(along.orderBy("bin"))).withColumn("all", F.sum("w").over(along))
+        limits = placed.filter(F.col("below") >= CORE * F.col("all")).groupBy(*group).agg(F.min("bin").alias("core_bin"))
+        core = measured.join(small(limits, 3 * n_cells), list(group)).filter(F.col("bin") <= F.col("core_bin"))
+        found = _moments(core, group)
+        factors = _with_factor(found, CONSISTENCY, group)
+        step = found.join(factors.drop(*[f"mean_{a}" for a in STATS]), list(group))
+        if best is None:
+            best = moved = cut(step)
+        else:
+            before = best.select(*group, F.col("log_det").alias("before"))
+            moved = cut(step.join(before, list(group)).filter(F.col("log_det") < F.col("before") - LEAST_GAIN).drop("before"))
+            if moved.isEmpty():
+                break
+            best = cut(best.join(moved.select(*group), list(group), "left_anti").unionByName(moved))
+        params = moved.select(params.columns)
+    shape = ["cell", "n", *[c for c in best.columns if c.startswith(("mean_", "cov_"))]]
+    chosen = best.groupBy("cell").agg(F.min_by(F.struct(*[c for c in shape if c != "cell"]), F.struct("log_det", "start")).alias("s"))
+    return chosen.select("cell", "s.*").select(shape)
+
+
+def _shrunk(estimates: DataFrame, families: DataFrame, depth: int) -> DataFrame:
+    """Estimates of the deepest cells, each weighted toward its parent's; families: cell, parent and the rows n_all of every cell."""
+    numbers = [c for c in estimates.columns if c.startswith(("mean_", "cov_"))]
+    known = estimates.drop("n").join(families, "cell")
+    level = known.filter(F.col("parent").isNull()).drop("parent", "n_all")
+    for d in range(1, depth + 1):
+        above = level.select(F.col("cell").alias("parent"), *[F.col(c).alias(f"up_{c}") for c in numbers])
+        own = known.filter(F.col("cell").startswith(f"{d}\u0002")).join(above, "parent")
+        level = own.select("cell", *[((F.col("n_all") * F.col(c) + SHRINK * F.col(f"up_{c}")) / (F.col("n_all") + SHRINK)).alias(c) for c in numbers])
+    return level
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -145,22 +224,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     carried = list(dict.fromkeys([*groups, *keep]))
     counts = text_counts(docs, id_col, text_col, carried)
     vectors = stored(_vectors(counts))
-    celled = _cells(vectors, list(groups))
-    fitted = celled.filter(~F.col("base_failed") & F.col("cell").isNotNull()).select("cell", *STATS)
-
-    middle = cut(fitted.groupBy("cell").agg(*[F.percentile_approx(a, 0.5).alias(f"mean_{a}") for a in STATS]))
-    n_cells = middle.count()
-    off = fitted.join(small(middle, n_cells), "cell").select("cell", *[F.abs(F.col(a) - F.col(f"mean_{a}")).alias(a) for a in STATS])
-    spread = off.groupBy("cell").agg(*[F.percentile_approx(a, 0.5).alias(f"mad_{a}") for a in STATS])
-    zero = [F.lit(0.0).alias(f"cov_{a}_{b}") for i, a in enumerate(STATS) for b in list(STATS)[:i]]
-    start = middle.join(spread, "cell").select("*", *zero, *[F.pow(F.col(f"mad_{a}") * 1.4826, F.lit(2)).alias(f"cov_{a}_{a}") for a in STATS])
-    params = cut(_with_factor(start, 1.0))
-    for _ in range(CONCENTRATION_STEPS):
-        measured = _measured(fitted, params, n_cells)
-        limits = cut(measured.groupBy("cell").agg(F.percentile_approx("distance", CORE).alias("core_limit")))
-        core = measured.join(small(limits, n_cells), "cell").filter(F.col("distance") <= F.col("core_limit"))
-        params = cut(_with_factor(_moments(core), CONSISTENCY))
-    judged = _measured(celled, params, n_cells, "left")
+    points = stored(_points(vectors, list(groups)))
+    families = cut(points.groupBy("cell", "parent").agg(F.sum("w").alias("n_all")))
+    params = cut(_with_factor(_shrunk(mcd(points), families, len(groups)), CONSISTENCY)).drop("log_det")
+    judged = _measured(vectors.withColumn("cell", _cell(list(groups), len(groups))), params, params.count(), "left")
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
 
 
