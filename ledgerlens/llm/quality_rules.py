@@ -173,14 +173,15 @@ def _starts(points: DataFrame, n_cells: int) -> DataFrame:
         near = near.filter(F.col(f"off_{a}") <= 2 * (1.4826 * F.col(f"mad_{a}") + STATS[a]))
     shape = by_median.columns
     of_all, of_near = (_moments(rows).withColumn("start", F.lit(i)).select(shape) for i, rows in ((1, points), (2, near)))
-    return _with_factor(by_median.unionByName(of_all).unionByName(of_near), 1.0, ("cell", "start"))
+    return _with_factor(stored(by_median.unionByName(of_all).unionByName(of_near)), 1.0, ("cell", "start"))
 
 
 def mcd(points: DataFrame) -> DataFrame:
     """cell, n, means and covariances of the core with the smallest determinant, for every cell of points (cell, w, statistics)."""
+    # Estimates are stored, not checkpointed: a checkpoint keeps the constraints of the factor's columns, whose inference grows exponentially.
     points = points.select("cell", "w", *STATS)
     n_cells = points.select("cell").distinct().count()
-    params, best = cut(_starts(points, n_cells)), None
+    params, best = stored(_starts(points, n_cells)), None
     bins = F.floor(F.log2(1 + F.col("distance")) * DISTANCE_BINS).cast("int")
     group = ("cell", "start")
     along = Window.partitionBy(*group)
@@ -190,17 +191,16 @@ def mcd(points: DataFrame) -> DataFrame:
         placed = counts.withColumn("below", F.sum("w").over(along.orderBy("bin"))).withColumn("all", F.sum("w").over(along))
         limits = placed.filter(F.col("below") >= CORE * F.col("all")).groupBy(*group).agg(F.min("bin").alias("core_bin"))
         core = measured.join(small(limits, 3 * n_cells), list(group)).filter(F.col("bin") <= F.col("core_bin"))
-        found = _moments(core, group)
-        factors = _with_factor(found, CONSISTENCY, group)
-        step = found.join(factors.drop(*[f"mean_{a}" for a in STATS]), list(group))
+        found = stored(_moments(core, group))
+        step = stored(_with_factor(found, CONSISTENCY, (*group, "n", *[c for c in found.columns if c.startswith("cov_")])))
         if best is None:
-            best = moved = cut(step)
+            best = moved = step
         else:
             before = best.select(*group, F.col("log_det").alias("before"))
-            moved = cut(step.join(before, list(group)).filter(F.col("log_det") < F.col("before") - LEAST_GAIN).drop("before"))
+            moved = stored(step.join(before, list(group)).filter(F.col("log_det") < F.col("before") - LEAST_GAIN).drop("before"))
             if moved.isEmpty():
                 break
-            best = cut(best.join(moved.select(*group), list(group), "left_anti").unionByName(moved))
+            best = stored(best.join(moved.select(*group), list(group), "left_anti").unionByName(moved))
         params = moved.select(params.columns)
     shape = ["cell", "n", *[c for c in best.columns if c.startswith(("mean_", "cov_"))]]
     chosen = best.groupBy("cell").agg(F.min_by(F.struct(*[c for c in shape if c != "cell"]), F.struct("log_det", "start")).alias("s"))
@@ -226,7 +226,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     vectors = stored(_vectors(counts))
     points = stored(_points(vectors, list(groups)))
     families = cut(points.groupBy("cell", "parent").agg(F.sum("w").alias("n_all")))
-    params = cut(_with_factor(_shrunk(mcd(points), families, len(groups)), CONSISTENCY)).drop("log_det")
+    params = stored(_with_factor(stored(_shrunk(mcd(points), families, len(groups))), CONSISTENCY)).drop("log_det")
     judged = _measured(vectors.withColumn("cell", _cell(list(groups), len(groups))), params, params.count(), "left")
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
 
