@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import measures as M
@@ -66,11 +66,22 @@ def job_detail(jobs: DataFrame, documents: DataFrame, detections: DataFrame) ->
 
 
 def duplicate_invoices(invoices: DataFrame, months: int = 6) -> DataFrame:
-    """Each invoice with the newest earlier one of the same number, vendor and amount within the months before it."""
+    """Each invoice with the newest earlier one of the same number, vendor and amount within the months before it; of one day the largest id.
+
+    One row per key and day holds that day's count and largest id; a window by key, ordered by day, then looks back over days, so a
+    key with many invoices makes no pairs. Null numbers, vendors or amounts match nothing.
+    """
     key = ["number", "vendor", "amount"]
-    earlier = invoices.select(*key, F.col("doc_id").alias("e_id"), F.col("day").alias("e_day"))
-    pairs = invoices.join(earlier, key).filter((F.col("e_day") < F.col("day")) & (F.col("e_day") >= F.add_months("day", -months)))
-    return pairs.groupBy("doc_id").agg(F.max_by("e_id", F.struct("e_day", "e_id")).alias("matched_id"), F.max("e_day").alias("matched_day"), F.count("*").alias("n_matches"))
+    days = invoices.dropna(subset=[*key, "day"]).groupBy(*key, "day").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_id"))
+    by_day = Window.partitionBy(*key).orderBy("day")
+    counted = days.withColumn("upto", F.sum("n").over(by_day)).withColumn("seen", F.struct(F.lag("last_id").over(by_day).alias("id"), F.lag("day").over(by_day).alias("day")))
+    # rows before the first permitted day: a month's shift isn't a fixed number of days, so that day joins the order as a mark
+    marks = counted.select(*key, F.add_months("day", -months).alias("at"), F.lit(0).alias("kind"), F.col("day").alias("of"), F.lit(0).cast("long").alias("n"))
+    rows = counted.select(*key, F.col("day").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("date").alias("of"), "n")
+    along = Window.partitionBy(*key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = marks.unionByName(rows).withColumn("too_old", F.sum("n").over(along)).filter("kind = 0").select(*key, F.col("of").alias("day"), "too_old")
+    found = counted.join(before, [*key, "day"]).withColumn("n_matches", F.col("upto") - F.col("n") - F.col("too_old")).filter("n_matches > 0")
+    return invoices.join(found.select(*key, "day", F.col("seen.id").alias("matched_id"), F.col("seen.day").alias("matched_day"), "n_matches"), [*key, "day"]).select("doc_id", "matched_id", "matched_day", "n_matches")
 
 
 def latency_by_hour(jobs: DataFrame) -> DataFrame:
@@ -78,10 +89,16 @@ def latency_by_hour(jobs: DataFrame) -> DataFrame:
 
 
 def rule_impact(failures: DataFrame, documents: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """How many documents pass if one rule is ignored: a small scenario table against rule failures."""
-    docs = documents.count()
-    bad = failures.crossJoin(F.broadcast(scenarios.limit(1000))).filter("ignored_rule is null or rule_id <> ignored_rule")  # a stated list of scenarios
-    return scenarios.join(bad.groupBy("scenario").agg(F.countDistinct("doc_id").alias("ng")), "scenario", "left").select("scenario", F.coalesce("ng", F.lit(0)).alias("ng"), (F.lit(docs) - F.coalesce("ng", F.lit(0))).alias("ok"))
+    """How many documents pass if one rule is ignored. scenarios: scenario, ignored_rule (null: none).
+
+    A document fails a scenario unless all its failures are of the ignored rule, so one count of failing documents, and one per rule
+    of documents that fail it alone, answer every scenario.
+    """
+    rules = failures.select("doc_id", "rule_id").groupBy("doc_id").agg(F.min("rule_id").alias("least"), F.max("rule_id").alias("most"))
+    alone = rules.filter("least = most").groupBy(F.col("least").alias("ignored_rule")).agg(F.count("*").alias("spared"))
+    totals = documents.agg(F.count("*").alias("docs")).join(rules.agg(F.count("*").alias("failing")))  # one row each
+    spared = scenarios.join(alone, "ignored_rule", "left").join(F.broadcast(totals)).withColumn("ng", F.col("failing") - F.coalesce("spared", F.lit(0)))
+    return spared.select("scenario", "ng", (F.col("docs") - F.col("ng")).alias("ok"))
 
 
 def delivery_mode(payload_bytes: Column, limit: int = 262_144) -> Column:
@@ -89,6 +106,6 @@ def delivery_mode(payload_bytes: Column, limit: int = 262_144) -> Column:
     return F.when(payload_bytes <= limit // 2, "INLINE").when(payload_bytes <= limit, "HYBRID").otherwise("REFERENCE")
 
 
-def masked(text: Column) -> Column:
-    """E-mail addresses and long digit runs hidden, the rest cut to an extract."""
-    return F.substring(F.regexp_replace(F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "<email>"), r"[0-9]{6,}", "<number>"), 1, 80)
+def masked(text: Column, extract: int = 80) -> Column:
+    """E-mail addresses and long digit runs hidden, the rest cut to an extract of so many characters."""
+    return F.substring(F.regexp_replace(F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "<email>"), r"[0-9]{6,}", "<number>"), 1, extract)

@@ -26,7 +26,7 @@ def _messages(spark, sf):
     k = F.col("o_orderkey")
     items = fx.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
     o = fx.read(spark, sf, "orders").join(items, "o_orderkey").join(fx.read(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
-    docs = F.transform(F.sequence(F.lit(1), F.least("n", F.lit(3)).cast("int")), lambda i: F.struct(F.format_string("D%d", i).alias("document_id"), F.lit("INV").alias("document_type"), F.format_string("http://files/x/%d/%d.pdf?sig=1", k, i).alias("attachment_url")))
+    docs = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.struct(F.format_string("D%d", i).alias("document_id"), F.lit("INV").alias("document_type"), F.format_string("http://files/x/%d/%d.pdf?sig=1", k, i).alias("attachment_url")))
     batch = F.to_json(F.struct(F.concat(F.lit("Q"), k).alias("queue_no"), F.concat(F.lit("PV"), k).alias("pv_no"), F.lit("NORMAL").alias("transaction_type"), F.col("c_name").alias("vendor_name"), F.format_string("%.2f", "o_totalprice").alias("total_amount"), docs.alias("documents")))
     legacy = F.to_json(F.struct(F.concat(F.lit("L"), k).alias("QUEUE_ID"), F.concat(F.lit("DOC"), k).alias("DOC_NO"), F.lit("DN").alias("DOC_TYPE"), F.lit("1").alias("DOC_SEQ"), F.lit("REIMBURSEMENT_TOLL").alias("TRANS_TYPE_CD"), F.concat(k, F.lit(".PNG")).alias("FILE_NM"), F.concat(F.lit("/in/"), k).alias("PATH_FILE")))
     return o.select(k.alias("k"), F.when(k % 3 == 0, batch).when(k % 3 == 1, legacy).otherwise(F.concat(F.lit('{"queue_no": '), k)).alias("value"))
@@ -118,7 +118,7 @@ def outbox_enqueue(spark, sf):
 
 
 def duplicate_invoices(spark, sf):
-    o = fx.read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("number"), F.col("o_custkey").alias("vendor"), F.lit(0).alias("amount"), F.to_date("o_orderdate").alias("day"))
+    o = fx.read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("number"), F.col("o_custkey").alias("vendor"), F.floor(F.col("o_totalprice") / 50000).cast("long").alias("amount"), F.to_date("o_orderdate").alias("day"))
     return P.duplicate_invoices(o).select("doc_id", "matched_id", F.col("matched_day").cast("string").alias("matched_day"), "n_matches")
 
 
@@ -142,7 +142,7 @@ def review_rates(spark, sf):
 
 
 def drift_cube(spark, sf):
-    e = fx.read(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).filter("event_type in ('error', 'purchase')")
+    e = fx.read(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     return e.cube("event_type", "day").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value")).select(F.coalesce("event_type", F.lit("all")).alias("event_type"), F.coalesce("day", F.lit("all")).alias("day"), "n", "mean_value")
 
 
@@ -197,7 +197,7 @@ def audit_log(spark, sf):
 
 
 def retention(spark, sf):
-    """Dead letters kept: those of the last 30 days before the end of the month."""
+    """Dead letters kept: those of the last 20 days before the end of the month."""
     return _outbox(spark, sf).filter("status = 'DLQ' and available_at >= timestamp_ntz '2024-01-31' - interval 20 days").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
@@ -219,13 +219,13 @@ QUERIES = {f.__name__: f for f in (
     masked_extract, remark_priority, audit_log, retention, field_confidence_blend, largest_amount,
 )}
 
-_M = "SELECT o_orderkey AS k, o_totalprice, least(n, 3) AS n FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey"
+_M = "SELECT o_orderkey AS k, o_totalprice, n FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey"
 _J = "SELECT o_orderkey AS job_id, o_custkey, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'PROCESSING' ELSE 'FAILED' END AS status, CASE WHEN o_orderkey % 4 <> 0 THEN 'OK' ELSE 'NG' END AS result, CAST(1000 + o_orderkey * 37 % 9000 AS BIGINT) AS duration_ms, CAST(o_orderkey % 3 AS INTEGER) AS retry_count, o_orderdate, strftime(o_orderdate, '%Y-%m-%d ') || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') AS hour FROM orders"
 _O = "SELECT event_id, ['PENDING','FAILED','PROCESSING','PUBLISHED','DLQ'][event_id % 5 + 1] AS status, ts, CAST(event_id % 6 AS INTEGER) AS attempt_count, event_id % 3 = 0 AS sent FROM events"
 _F = f"SELECT doc_id, r.id AS rule_id, r.o AS o FROM ({ver._RULES})"
 
 ORACLES = {
-    "request_documents": f"""SELECT 'Q' || k AS queue_id, 'D' || i AS external_document_id, CAST(i - 1 AS INTEGER) AS document_index, 'INV' AS document_type, i || '.pdf' AS file_name, 'application/pdf' AS mime_type FROM ({_M}), range(1, 4) t(i) WHERE k % 3 = 0 AND i <= n
+    "request_documents": f"""SELECT 'Q' || k AS queue_id, 'D' || i AS external_document_id, CAST(i - 1 AS INTEGER) AS document_index, 'INV' AS document_type, i || '.pdf' AS file_name, 'application/pdf' AS mime_type FROM (SELECT k, unnest(range(1, n + 1)) AS i FROM ({_M}) WHERE k % 3 = 0)
   UNION ALL SELECT 'L' || k, 'DOC-001', 0, 'DN', k || '.PNG', 'image/png' FROM ({_M}) WHERE k % 3 = 1""",
     "idempotency_keys": f"""SELECT 'Q' || k AS queue_id, 'MSG-Q' || k AS message_id, 'ELVIS' AS source_system, sha256('Q' || k || '|' || array_to_string(list_transform(range(1, n + 1), lambda i: 'D' || i || '|http://files/x/' || k || '/' || i || '.pdf?sig=1'), '|')) AS idempotency_key, 'NORMAL' AS transaction_type, o_totalprice AS total_amount FROM ({_M}) WHERE k % 3 = 0
   UNION ALL SELECT 'L' || k, 'MSG-L' || k, 'VISION', sha256('DOC' || k || '|DN|1|' || k || '.PNG|/in/' || k), 'REIMBURSEMENT_TOLL', NULL FROM ({_M}) WHERE k % 3 = 1""",
@@ -240,12 +240,12 @@ ORACLES = {
     "job_detail": fx.duck(f"SELECT j.job_id, status, coalesce(n, 0) AS n_documents, round(amount, 2) AS amount, coalesce(d.m, 0) AS n_detections, best FROM ({_J}) j LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice) AS amount FROM lineitem GROUP BY 1) ON l_orderkey = job_id LEFT JOIN (SELECT doc_id, count(*) AS m, max(confidence) AS best FROM fx_detections GROUP BY 1) d ON d.doc_id = job_id"),
     "job_update": f"SELECT CASE WHEN job_id % 5 = 0 THEN 'FAILED' ELSE status END AS status, CASE WHEN job_id % 5 = 0 THEN 'NG' ELSE result END AS result, CAST(retry_count + CASE WHEN job_id % 10 = 0 THEN 1 ELSE 0 END AS INTEGER) AS retry_count, count(*) AS n FROM ({_J}) GROUP BY 1, 2, 3",
     "outbox_enqueue": f"SELECT job_id, 'out-Q' || job_id AS message_id, p AS payload, CAST(strlen(p) AS INTEGER) AS payload_bytes FROM (SELECT job_id, '{{\"job_id\":' || job_id || ',\"queue_id\":\"Q' || job_id || '\",\"status\":\"' || status || '\"}}' AS p FROM ({_J}))",
-    "duplicate_invoices": "SELECT doc_id, arg_max(e_id, (e_day, e_id)) AS matched_id, CAST(max(e_day) AS VARCHAR) AS matched_day, count(*) AS n_matches FROM (SELECT a.o_orderkey AS doc_id, b.o_orderkey AS e_id, CAST(b.o_orderdate AS DATE) AS e_day FROM orders a JOIN orders b USING (o_custkey, o_orderpriority) WHERE CAST(b.o_orderdate AS DATE) < CAST(a.o_orderdate AS DATE) AND CAST(b.o_orderdate AS DATE) >= CAST(CAST(a.o_orderdate AS DATE) - INTERVAL 6 MONTH AS DATE)) GROUP BY 1",
+    "duplicate_invoices": "SELECT doc_id, arg_max(e_id, (e_day, e_id)) AS matched_id, CAST(max(e_day) AS VARCHAR) AS matched_day, count(*) AS n_matches FROM (SELECT a.o_orderkey AS doc_id, b.o_orderkey AS e_id, CAST(b.o_orderdate AS DATE) AS e_day FROM orders a JOIN orders b USING (o_custkey, o_orderpriority) WHERE floor(a.o_totalprice / 50000) = floor(b.o_totalprice / 50000) AND CAST(b.o_orderdate AS DATE) < CAST(a.o_orderdate AS DATE) AND CAST(b.o_orderdate AS DATE) >= CAST(CAST(a.o_orderdate AS DATE) - INTERVAL 6 MONTH AS DATE)) GROUP BY 1",
     "ops_counters": f"SELECT status, count(*) AS jobs, count(*) FILTER (result = 'OK') AS ok, CAST(sum(retry_count) AS BIGINT) AS retries FROM ({_J}) GROUP BY 1",
     "hourly_latency": f"SELECT hour, count(*) AS jobs, count(*) FILTER (result = 'OK') AS ok, round(quantile_cont(duration_ms, 0.5), 4) AS p50, round(quantile_cont(duration_ms, 0.95), 4) AS p95, round(quantile_cont(duration_ms, 0.99), 4) AS p99 FROM ({_J}) GROUP BY 1",
     "top_failed_rules": fx.duck(f"SELECT rule_id, count(*) AS n FROM ({_F}) GROUP BY 1 ORDER BY n DESC, rule_id LIMIT 5"),
     "review_rates": "SELECT lang, count(*) AS n, count(*) FILTER (n_chars >= 500 AND quality = 0) AS false_ok, count(*) FILTER (n_chars < 500 AND quality = 1) AS false_ng FROM labels JOIN documents USING (doc_id) GROUP BY 1",
-    "drift_cube": "SELECT coalesce(event_type, 'all') AS event_type, coalesce(day, 'all') AS day, count(*) AS n, round(avg(value), 6) AS mean_value FROM (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type IN ('error', 'purchase')) GROUP BY CUBE (event_type, day)",
+    "drift_cube": "SELECT coalesce(event_type, 'all') AS event_type, coalesce(day, 'all') AS day, count(*) AS n, round(avg(value), 6) AS mean_value FROM (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events) GROUP BY CUBE (event_type, day)",
     "header_breakdown": f"SELECT o_custkey, count(*) FILTER (job_id % 5 <> 0 AND result = 'OK') AS main_ok, count(*) FILTER (job_id % 5 <> 0 AND result = 'NG') AS main_ng, count(*) FILTER (job_id % 5 = 0 AND result = 'OK') AS second_ok, count(*) FILTER (job_id % 5 = 0 AND result = 'NG') AS second_ng FROM ({_J}) GROUP BY 1",
     "stage_timings": f"SELECT stage, count(*) AS n, CAST(sum(ms) AS BIGINT) AS total_ms, max(ms) AS longest_ms FROM (SELECT 'render' AS stage, job_id % 300 AS ms FROM ({_J}) UNION ALL SELECT 'detect', job_id % 50 FROM ({_J}) UNION ALL SELECT 'ocr', 500 + job_id % 1500 FROM ({_J})) GROUP BY 1",
     "error_classes": f"SELECT ['INTERNAL_ERROR','TIMEOUT_ERROR','DOCUMENT_ERROR','VALIDATION_ERROR','DLQ_ERROR'][job_id % 5 + 1] AS return_code, job_id % 5 < 2 AS retryable, count(*) AS n FROM ({_J}) WHERE status = 'FAILED' GROUP BY 1, 2",
