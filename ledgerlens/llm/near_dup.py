@@ -384,8 +384,8 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     drawn = stored(sketched(texts))
     nodes = stored(drawn.filter("node_key is not null").groupBy("node_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
-    drawn_once = drawn.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    members = stored(drawn_once.select(F.col("row").alias("node"), F.explode("buckets").alias("bucket"), F.octet_length("text").alias("bytes")))
+    narrow = drawn.filter("node_key is not null").select(F.col("row").alias("node"), "buckets", F.octet_length("text").alias("bytes"))  # before the join: texts aren't shuffled
+    members = stored(narrow.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("buckets").alias("bucket"), "bytes"))
     seats = stored(_seated(members))
     wanted = seats.select(F.col("node").alias("row")).distinct()
     bodies = stored(drawn.select("row", "text", "steps").join(small(wanted, wanted.count()), "row", "left_semi")).withColumnRenamed("row", "node")
