@@ -12,19 +12,6 @@ from ledgerlens.functions import fixed_values as V
 
 MONEY = "decimal(18,2)"
 _AMOUNT = r"[0-9][0-9.,]*+"
-_BEFORE = "|".join(re.escape(x).replace("Rp", r"Rp\.?").replace("IDR", r"IDR\.?") for x in sorted(V.CURRENCY_BEFORE, key=len, reverse=True))
-_AFTER = "|".join(V.CURRENCY_AFTER)
-#: An amount with a currency that no percent sign follows.
-CURRENCY_AMOUNT = rf"(?i)(?:({_BEFORE})\s*({_AMOUNT})|({_AMOUNT})\s*({_AFTER}))(?!\s*%)"
-BARE_AMOUNT = rf"(?i)(?<![A-Z0-9])({_AMOUNT})(?!\s*%)"
-_MONTH = (
-    "januari|februari|maret|april|mei|juni|juli|agustus|september|oktober|november|desember|"
-    "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?|okt|nop|des|agt|peb"
-)
-DATE_TOKEN = (
-    rf"(?i)\b(?:\d{{4}}[./-]\d{{1,2}}[./-]\d{{1,2}}|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{2,4}}|\d{{1,2}}[./-](?:{_MONTH})[./-]\d{{2,4}}"
-    rf"|\d{{1,2}}\s+(?:{_MONTH})\s+\d{{2,4}}|(?:{_MONTH})\s+\d{{1,2}},?\s+\d{{2,4}})\b"
-)
 #: Formats after all separators have become blanks, day first.
 _DATE_FORMATS = [(r"^\d{4} \d{1,2} \d{1,2}$", "yyyy M d"), (r"^\d{1,2} \d{1,2} \d{4}$", "d M yyyy"), (r"^\d{1,2} \d{1,2} \d{2}$", "d M yy")] + [
     (rf"^{order}$", fmt)
@@ -70,7 +57,7 @@ def norm(c: Column) -> Column:
 
 def norm_label(c: Column) -> Column:
     """norm with misread label words put right."""
-    fixed = constant(V.label_typos())
+    fixed = constant(V.LABEL_TYPOS)
     return F.array_join(F.transform(F.split(norm(c), " "), lambda w: F.coalesce(F.try_element_at(fixed, w), w)), " ")
 
 
@@ -122,8 +109,8 @@ def _one_decimal_sign(c: Column) -> Column:
 
 def money_raw(text: Column, first: bool = False) -> Column:
     """The first or last amount with a currency, else the last bare number, as written."""
-    tagged = F.filter(F.transform(F.regexp_extract_all(text, F.lit(CURRENCY_AMOUNT), F.lit(0)), lambda m: F.regexp_extract(m, _AMOUNT, 0)), lambda r: parse_money(r).isNotNull())
-    bare = F.regexp_extract_all(text, F.lit(BARE_AMOUNT), F.lit(1))
+    tagged = F.filter(F.transform(F.regexp_extract_all(text, F.lit(V.CURRENCY_AMOUNT), F.lit(0)), lambda m: F.regexp_extract(m, _AMOUNT, 0)), lambda r: parse_money(r).isNotNull())
+    bare = F.regexp_extract_all(text, F.lit(V.BARE_AMOUNT), F.lit(1))
     return F.coalesce(F.try_element_at(tagged, F.lit(1 if first else -1)), F.try_element_at(bare, F.lit(-1)))
 
 
@@ -133,14 +120,14 @@ def money(text: Column, first: bool = False) -> Column:
 
 def currency(text: Column) -> Column:
     """ISO code of the first amount's currency sign, or null."""
-    sign = F.coalesce(none_if_empty(F.regexp_extract(text, CURRENCY_AMOUNT.removesuffix(r"(?!\s*%)"), 1)), none_if_empty(F.regexp_extract(text, CURRENCY_AMOUNT.removesuffix(r"(?!\s*%)"), 4)))
+    sign = F.coalesce(none_if_empty(F.regexp_extract(text, V.CURRENCY_SIGN_AMOUNT, 1)), none_if_empty(F.regexp_extract(text, V.CURRENCY_SIGN_AMOUNT, 4)))
     codes = constant(V.CURRENCY_CODES)
     return let(F.upper(F.replace(sign, F.lit("."))), lambda bare: F.coalesce(F.try_element_at(codes, bare), bare))
 
 
 def parse_date(text: Column) -> Column:
     """The first date in the text, day before month; two-digit years from 69 on belong to the last century."""
-    token = none_if_empty(F.regexp_extract(text, DATE_TOKEN, 0))
+    token = none_if_empty(F.regexp_extract(text, V.DATE_TOKEN, 0))
     plain = F.trim(F.regexp_replace(F.replace(token, F.lit(",")), r"[./\-\s]+", " "))
     months = constant(V.MONTHS)
     english = F.array_join(F.transform(F.split(plain, " "), lambda w: F.coalesce(F.try_element_at(months, F.lower(w)), w)), " ")
@@ -162,7 +149,7 @@ def clean_number(value: Column) -> Column:
 
 def parse_document_number(value: Column) -> Column:
     """The value as a number, or the longest number-like part of it; dates, amounts and percentages are none."""
-    refused = parse_date(value).isNotNull() | value.rlike(CURRENCY_AMOUNT.removesuffix(r"(?!\s*%)")) | F.contains(value, F.lit("%"))
+    refused = parse_date(value).isNotNull() | value.rlike(V.CURRENCY_SIGN_AMOUNT) | F.contains(value, F.lit("%"))
     bare = clean_number(F.regexp_replace(value, r"(?i)^\s*(?:no\.?|number|nomor|id|code|reference|ref)\s*[:#\-]?\s*", ""))
     return F.when(~refused, let(bare, _number_in))
 
@@ -201,27 +188,27 @@ def amount_role(line: Column) -> Column:
 
 def _amount_role_of(label: Column) -> Column:
     found = []
-    for role, score, phrases in V.roles(V.AMOUNT_ROLES_TEXT):
+    for role, score, phrases in V.AMOUNT_ROLES:
         found.append(let(first_phrase(label, phrases), _role_struct(role, score)))
-    totals = constant([{"label": a, "score": s} for f, a, s in V.label_aliases() if f == "transaction_amount"])
+    totals = constant([{"label": a, "score": s} for f, a, s in V.LABEL_ALIASES if f == "transaction_amount"])
     def total_role(total: Column) -> Column:
         cap = F.when(starts_words(label, total["label"]), 0.98).otherwise(0.95)
         return F.when(total.isNotNull(), F.struct(F.lit("final_total").alias("role"), total["label"].alias("label"), F.least(total["score"], cap).alias("score")))
 
-    names = "|".join(re.escape(a) for f, a, _ in V.label_aliases() if f == "transaction_amount")
+    names = "|".join(re.escape(a) for f, a, _ in V.LABEL_ALIASES if f == "transaction_amount")
     found.append(F.when(label.rlike(rf"(?:^| )(?:{names})(?: |$)"), let(F.get(F.filter(totals, lambda t: has_words(label, t["label"])), 0), total_role)))
     return F.coalesce(*found)
 
 
 def date_role(text: Column) -> Column:
     """struct(role, label, score) of a line, or null."""
-    return let(norm(text), lambda n: F.coalesce(*[let(first_phrase(n, phrases, whole_words=False), _role_struct(role, score)) for role, score, phrases in V.roles(V.DATE_ROLES_TEXT)]))
+    return let(norm(text), lambda n: F.coalesce(*[let(first_phrase(n, phrases, whole_words=False), _role_struct(role, score)) for role, score, phrases in V.DATE_ROLES]))
 
 
 def label_field(label: Column) -> Column:
     """struct(field, alias, score): the first alias, in order, that a label equals or begins with; null if none."""
-    table = constant([{"field": f, "alias": a, "score": s} for f, a, s in V.label_aliases()])
-    names = "^(?:" + "|".join(re.escape(a) for _, a, _ in V.label_aliases()) + ")(?: |$)"
+    table = constant([{"field": f, "alias": a, "score": s} for f, a, s in V.LABEL_ALIASES])
+    names = "^(?:" + "|".join(re.escape(a) for _, a, _ in V.LABEL_ALIASES) + ")(?: |$)"
     return let(norm_label(label), lambda normal: F.when((F.length(normal) <= 80) & normal.rlike(names), F.get(F.filter(table, lambda t: starts_words(normal, t["alias"])), 0)))
 
 

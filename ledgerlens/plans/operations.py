@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import fixed_values as V
 from ledgerlens.functions import text as T
 from ledgerlens.operators import ops as P
 from ledgerlens.plans import fixtures as fx
@@ -209,7 +210,7 @@ def field_confidence_blend(spark, sf):
 def largest_amount(spark, sf):
     """Without labels: the largest amount in the text of each invoice."""
     pages = fx.invoices(spark, sf).select("doc_id", F.concat_ws(" ", *[F.concat(F.lit("Rp "), F.format_number(c, 2)) for c in ("tax", "total", "discount")]).alias("t"))
-    found = F.transform(F.regexp_extract_all("t", F.lit(T.CURRENCY_AMOUNT), F.lit(2)), T.parse_money)
+    found = F.transform(F.regexp_extract_all("t", F.lit(V.CURRENCY_AMOUNT), F.lit(2)), T.parse_money)
     return pages.select("doc_id", F.array_max(found).cast("double").alias("amount"))
 
 
