@@ -9,7 +9,7 @@ from ledgerlens.functions import text as T
 from ledgerlens.operators import extract as X
 from ledgerlens.operators import resolve as R
 from ledgerlens.plans import fixtures as fx
-from ledgerlens.plans.storage import cut
+from ledgerlens.storage import cut
 
 D = "double"
 
@@ -89,20 +89,20 @@ def fallback_fields(spark, sf):
 def document_numbers(spark, sf):
     """Numbers by pattern from lines without a label:value form."""
     base = fx.invoices(spark, sf).select("doc_id", F.lit(1).alias("page_number"), F.concat(F.lit("Invoice # INV-"), "doc_id", F.lit(" issued\nDO-"), "doc_id", F.lit("/X\nsettled 25% today")).alias("raw_text"))
-    return X.document_number_candidates(X.page_lines(base)).select("doc_id", "line_no", F.col("value_str").alias("number"))
+    return X.document_number_candidates(X.line_facts(X.page_lines(base))).select("doc_id", "line_no", F.col("value_str").alias("number"))
 
 
 def neighbour_context(spark, sf):
     """A value on the line after its label."""
     base = fx.invoices(spark, sf).select("doc_id", F.lit(1).alias("page_number"), F.concat(F.lit("Amount Due\nRp "), F.format_number("total", 2), F.lit("\nthank you")).alias("raw_text"))
-    found = X.context_candidates(X.page_lines(base), X.alias_table(spark)).filter("label_distance = 1 and source_label = 'amount due'")
+    found = X.context_candidates(X.line_facts(X.page_lines(base)), X.alias_table(spark)).filter("label_distance = 1 and source_label = 'amount due'")
     return found.select("doc_id", F.col("value_num").cast(D).alias("amount"), "score", "label_relation", "candidate_only")
 
 
 def split_financials(spark, sf):
     """Labels and values in separate blocks of one column."""
     base = fx.invoices(spark, sf).select("doc_id", F.lit(1).alias("page_number"), F.concat(F.lit("Subtotal\nRp "), F.format_number("subtotal", 2), F.lit("\nGrand Total\nRp "), F.format_number(F.col("total") + 7, 2)).alias("raw_text"))
-    return X.split_financials(X.page_lines(base)).select("doc_id", "amount_role", F.col("value_num").cast(D).alias("amount"))
+    return X.split_financials(X.line_facts(X.page_lines(base))).select("doc_id", "amount_role", F.col("value_num").cast(D).alias("amount"))
 
 
 def adjacent_pairs(spark, sf):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -14,6 +13,7 @@ from ledgerlens.operators import ops as P
 from ledgerlens.plans import fixtures as fx
 from ledgerlens.plans import verification as ver
 from ledgerlens.sources import requests as R
+from ledgerlens.storage import shared_dir
 from ledgerlens.streaming import streams
 
 
@@ -62,7 +62,7 @@ def stream_inbox_dedup(spark, sf):
     name = f"inbox_{uuid.uuid4().hex}"
     source = spark.readStream.schema(fx.read(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")
     deduped = streams.inbox_dedup(source.select(F.col("event_type").alias("source_system"), F.col("user_id").alias("message_id"), "ts"), delay="60 days").select("source_system", "message_id")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerlens-stream-")
+    shared = shared_dir(spark)
     query = deduped.writeStream.format("parquet").option("path", f"{shared}/{name}/out").option("checkpointLocation", f"{shared}/{name}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("source_system string, message_id long").parquet(f"{shared}/{name}/out")
