@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, language_id, license_scan, near_dup, packing, quality_cotrain, quality_rules, sharding, suffix_dedup, topk
+from ledgerlens.llm import bpe, fill_middle, importance, language_id, license_scan, near_dup, packing, quality_cotrain, quality_rules, sharding, suffix_dedup, topk
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_weighted_minhash_classes": near_dup.op8_weighted_minhash_classes,
         "op9_previous_factor_dedup": suffix_dedup.op9_previous_factor_dedup,
         "op10_norm_bucket_topk": topk.op10_norm_bucket_topk,
+        "op11_quickselect_resampling": importance.op11_quickselect_resampling,
+        "op12_sparse_index_fim": fill_middle.op12_sparse_index_fim,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_diagonal_license_scan": license_scan.OP5_SQL, "op10_norm_bucket_topk": topk.OP10_SQL}
+    return {"op5_diagonal_license_scan": license_scan.OP5_SQL, "op10_norm_bucket_topk": topk.OP10_SQL, "op11_quickselect_resampling": importance.OP11_SQL, "op12_sparse_index_fim": fill_middle.OP12_SQL}

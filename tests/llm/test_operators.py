@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlens.llm import bpe, language_id, license_scan, near_dup, packing, quality_cotrain, quality_rules, sharding, suffix_dedup, topk
+from ledgerlens.llm import bpe, fill_middle, importance, language_id, license_scan, near_dup, packing, quality_cotrain, quality_rules, sharding, suffix_dedup, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, place long, bucket string"
 
@@ -442,3 +443,78 @@ def test_sparse_models_equal_dense_ones(spark):
         np.add.at(counts[languages.index(r["lang"])], language_id._trigrams(r["text"]), 1)
     grams = language_id._trigrams("the haus and the haus or the new")
     assert languages == ["de", "en", "fr"] and np.allclose(models.sums(grams), np.log(counts / counts.sum(1, keepdims=True))[:, grams].sum(1))
+
+
+ODD_TEXTS = [None, "", "\n", "a\n", "\n\nb", "é\r\nß\n漢字 x\n🙂", "no line end", "has <P> in it", "tail <", "> head\n<S", "x" * 70_000 + "\nü", "ÀB İstanbul K 9a"]
+
+
+def odd_docs(spark, copies=9):
+    rows = [(i * len(ODD_TEXTS) + j, t, "en", None, 1, 1, "z") for i in range(copies) for j, t in enumerate(ODD_TEXTS)]
+    return spark.createDataFrame([*rows, rows[5], rows[5], (None, "no id\nat all", None, None, None, None, None)], SCHEMA)
+
+
+@pytest.mark.parametrize("unit", ["line", "char"])
+def test_fill_in_middle(spark, docs, none, unit):
+    assert fill_middle.fill_in_middle(none).count() == 0
+    source = odd_docs(spark).unionByName(docs).repartition(3)
+    texts = collections.defaultdict(list)
+    for r in source.collect():
+        texts[r.doc_id].append(r.text or "")
+    out = fill_middle.fill_in_middle(source, rate=80, unit=unit).withColumn("back", fill_middle.restored()).toPandas().astype(object)
+    assert len(out) == sum(map(len, texts.values())) and set(out["form"]) == {"plain", "psm", "spm"}
+    for r in out.where(out.notna(), None).itertuples():
+        text = r.back
+        assert text in texts[r.doc_id]
+        h = [int(hashlib.sha256(f"7:{'' if r.doc_id is None else int(r.doc_id)}".encode()).hexdigest()[8 * i : 8 * i + 8], 16) for i in range(4)]
+        units = re.findall(r"[^\n]*\n|[^\n]+", text) if unit == "line" else list(text)
+        a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+        p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+        form = "plain" if not text or re.search("<[PSM]>", text) or h[2] % 100 >= 80 else "spm" if h[3] % 100 < 50 else "psm"
+        want = {"plain": text, "psm": f"<P>{p}<S>{s}<M>{m}", "spm": f"<S>{s}<P>{p}<M>{m}"}[form]
+        assert (r.n, r.form, r.output) == (len(units), form, want)
+        assert (r.prefix_chars, r.middle_chars) == ((None, None) if form == "plain" else (len(p), len(m)))
+
+
+def test_sparse_char_index():
+    text = "aé漢🙂b" * 50 + "plain" * 20 + "ü"
+    index = fill_middle.SparseCharIndex(np.frombuffer(text.encode(), np.uint8))
+    starts = np.array([len(text[:i].encode()) for i in range(len(text) + 1)])
+    assert index.chars(starts).tolist() == list(range(len(text) + 1)) and index.bytes(np.arange(len(text) + 1)).tolist() == starts.tolist()
+
+
+@pytest.mark.parametrize(("longest", "pivots"), [(1, 63), (1, 1), (3, 4)])
+def test_importance_resampling(spark, docs, none, longest, pivots):
+    target = spark.createDataFrame([("alpha gamma alpha",), (None,), ("of the Béta",)], "text string")
+    assert importance.resample(none, target).count() == 0
+    source = docs.unionByName(odd_docs(spark, 2)).repartition(3).cache()
+    rows = [(r.doc_id, r.text or "") for r in source.collect()]
+    lower = str.maketrans(importance.A_TO_Z, importance.A_TO_Z.lower())
+
+    def features(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(lower))
+        return len(w), [zlib.crc32(" ".join(w[i : i + n]).encode()) % 500 for n in range(1, longest + 1) for i in range(len(w) - n + 1)]
+
+    made = [(i, *features(t)) for i, t in rows]
+    s = np.bincount([b for m in made for b in m[2]], minlength=500)
+    t = np.bincount([b for text in ("alpha gamma alpha", "of the Béta") for b in features(text)[1]], minlength=500)
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s.sum() + 500) / ((s[b] + 1) * (t.sum() + 500)))) for b in range(500)]
+    want = []
+    for i, n, at in made:
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in at)
+        want.append((i, len(at), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n))
+    able = sorted((w for w in want if w[4] >= 20), key=lambda w: (-w[3], w[0] is None, w[0] or 0))
+    k = 35 * len(able) // 100
+    out = [tuple(r) for r in importance.resample(source, target, percent=35, buckets=500, longest=longest, pivots=pivots).collect()]
+    as_key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted((r[:4] for r in out), key=as_key) == sorted((w[:4] for w in want), key=as_key)
+    assert [r[:4] for r in sorted((r for r in out if r[4]), key=lambda r: r[4])] == [w[:4] for w in able[:k]]
+    assert sorted(r[4] for r in out if r[4]) == list(range(1, k + 1))
+    source.unpersist()
+
+
+def test_kth_key_by_ranks(spark):
+    keys = spark.range(400).selectExpr("(id * 7) % 5 as down", "cast(id % 11 = 0 as long) as late", "(id * 13) % 7 as id", "id as place").cache()
+    ranked = sorted(tuple(r) for r in keys.collect())
+    for k in (1, 57, 200, 400):
+        assert tuple(importance.kth_key(keys, k, pivots=3)) == ranked[k - 1]
