@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import bpe, fill_middle, importance, language_id, license_scan, near_dup, packing, quality_cotrain, quality_rules, sharding, suffix_dedup, topk
+from ledgerlens.llm import bpe, fill_middle, importance, language_id, license_scan, near_dup, packing, quality_cotrain, quality_rules, sharding, suffix_dedup, suffix_tree_lm, topk
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_norm_bucket_topk": topk.op10_norm_bucket_topk,
         "op11_quickselect_resampling": importance.op11_quickselect_resampling,
         "op12_sparse_index_fim": fill_middle.op12_sparse_index_fim,
+        "op13_suffix_tree_scores": suffix_tree_lm.op13_suffix_tree_scores,
     }
 
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlens.llm import bpe, fill_middle, importance, language_id, license_scan, near_dup, packing, quality_cotrain, quality_rules, sharding, suffix_dedup, topk
+from ledgerlens.llm import bpe, fill_middle, importance, language_id, license_scan, near_dup, packing, quality_cotrain, quality_rules, sharding, suffix_dedup, suffix_tree_lm, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, place long, bucket string"
 
@@ -518,3 +518,52 @@ def test_kth_key_by_ranks(spark):
     ranked = sorted(tuple(r) for r in keys.collect())
     for k in (1, 57, 200, 400):
         assert tuple(importance.kth_key(keys, k, pivots=3)) == ranked[k - 1]
+
+
+def plain_tree_scores(rows, depth, least, strength, divergence):
+    """id, held out, tokens, known, base, score of every row, by dictionaries over whole contexts."""
+    lower = str.maketrans(importance.A_TO_Z, importance.A_TO_Z.lower())
+    docs = [(i, zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), ""]) for i, t in rows]
+    after = collections.defaultdict(collections.Counter)
+    for _, out, w in docs:
+        for k in range(depth + 1) if not out else ():
+            for t in range(k, len(w)):
+                after[tuple(w[t - k : t])][w[t]] += 1
+    tokens, types = sum(after[()].values()), len(after[()])
+    kept: dict[int, set] = {0: {()}}
+
+    def chance(context, word):
+        if not context:
+            return (after[()][word] + 1) / (tokens + types + 1)
+        below = chance(context[1:], word)
+        return (after[context][word] + strength * below) / (sum(after[context].values()) + strength) if context in kept.get(len(context), ()) else below
+
+    for k in range(1, depth + 1):
+        gains = {}
+        for context, counts in after.items():
+            n = sum(counts.values())
+            if len(context) == k and n >= least:
+                p = {w: float(np.float32(chance(context[1:], w))) for w in counts}
+                gains[context] = sum(c * math.log((c - 1 + strength * p[w]) / ((n - 1 + strength) * p[w])) for w, c in counts.items()) / n
+        kept[k] = {c for c, g in gains.items() if g >= divergence}
+    assert kept[1] and kept[2]
+    out = []
+    for i, held, w in docs:
+        known = sum(after[()][x] > 0 for x in w)
+        base = sum(math.log10((after[()][x] + 1) / (tokens + types + 1)) for x in w)
+        out.append((i, held, len(w), known, tokens, base, sum(math.log10(chance(tuple(w[max(0, t - depth) : t]), x)) for t, x in enumerate(w))))
+    return out
+
+
+@pytest.mark.parametrize(("depth", "block", "shard"), [(2, 2_000, 30), (3, 10**6, 10**6)])
+def test_suffix_tree_scores(spark, docs, none, depth, block, shard):
+    assert suffix_tree_lm.suffix_tree_scores(none).count() == 0
+    source = docs.unionByName(odd_docs(spark, 2)).repartition(3)
+    want = plain_tree_scores([(r.doc_id, r.text) for r in source.collect()], depth, 6, 4.0, 0.05)
+    out = [tuple(r) for r in suffix_tree_lm.suffix_tree_scores(source, depth=depth, least=6, strength=4.0, divergence=0.05, shard=shard, block_bytes=block).collect()]
+    as_key = lambda r: tuple(-1 if x is None else x for x in r)
+    want, out = sorted(want, key=as_key), sorted(out, key=as_key)
+    assert [r[:5] for r in out] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in out], [r[5:] for r in want], rtol=1e-9)
+    # Texts that the tree hasn't seen are likelier under it than under the counts of single words.
+    assert sum(r[6] for r in out if r[1]) > sum(r[5] for r in out if r[1])
