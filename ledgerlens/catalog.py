@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.plans import fields, operations, verification
+from ledgerlens.plans import evaluation, fields, operations, verification
 
-MODULES = [fields, verification, operations]
+MODULES = [fields, verification, evaluation, operations]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,9 +17,12 @@ RULE_CONFIG = {
 
 
 def with_config(documents: DataFrame, config: DataFrame | None = None) -> DataFrame:
-    """documents with cfg_* columns: the defaults, overridden by the one row of config."""
+    """documents with cfg_* columns: the defaults, overridden by config, which must hold one row; several stop the query."""
     given = config.columns if config is not None else []
-    out = documents.crossJoin(F.broadcast(config.limit(1).select(*[F.col(c).alias(f"cfg_{c}") for c in given]))) if given else documents  # one row
+    kinds = dict(config.dtypes) if given else {}
+    one = lambda c: F.when(F.count("*") <= 1, F.first(c)).otherwise(F.raise_error(F.lit("several rule configurations")).cast(kinds[c]))
+    only = lambda c: F.coalesce(one(c), F.lit(RULE_CONFIG.get(c)))
+    out = documents.crossJoin(F.broadcast(config.agg(*[only(c).alias(f"cfg_{c}") for c in given]))) if given else documents  # one row
     return out.withColumns({f"cfg_{c}": F.lit(v) for c, v in RULE_CONFIG.items() if c not in given})
 
 
@@ -41,6 +44,7 @@ def invoice_rule_failures(documents: DataFrame, config: DataFrame | None = None)
     months = F.when(F.upper("transaction_type") == "REIMBURSEMENT_TOLL", 2).otherwise(6)
     first_day = F.trunc(F.add_months("request_date", -months), "MM")
     missing = c("invoice_number").isNull() | (c("invoice_number") == "")
+    # Ids, names and messages of the rules.
     rules = [
         _rule(1, "INV-R001", "Invoice number required", text("Invoice number not found."), cfg("require_invoice_number") & missing),
         _rule(2, "INV-R012", "Invoice number requires verified OCR evidence", text("Invoice number is a deterministic fallback and requires model verification."), cfg("require_invoice_number") & ~missing & ~c("verification_status").eqNullSafe("VERIFIED")),
@@ -62,6 +66,7 @@ def note_rule_failures(notes: DataFrame, config: DataFrame | None = None) -> Dat
     """Delivery notes: doc_id, signatures, stamps, is_colored."""
     c, cfg = F.col, lambda n: F.col(f"cfg_{n}")
     count = lambda what, have, need: F.concat(F.lit(f"Required {what} count is not met ("), have, F.lit("/"), need, F.lit(")."))
+    # Ids, names and messages of the rules.
     rules = [
         _rule(1, "DN-R001", "Delivery Note signature count", count("signature", c("signatures"), cfg("signature_count")), c("signatures") < cfg("signature_count")),
         _rule(2, "DN-R002", "Delivery Note stamp count", count("company stamp", c("stamps"), cfg("stamp_count")), c("stamps") < cfg("stamp_count")),
