@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.plans import evaluation, fields, operations, verification
+from ledgerlens.plans import evaluation, fields, operations, pipelines, verification
 
-MODULES = [fields, verification, evaluation, operations]
+MODULES = [fields, verification, evaluation, operations, pipelines]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
