@@ -170,46 +170,77 @@ def looks_like_address(text: Column) -> Column:
     return F.arrays_overlap(F.split(norm(text), " "), F.array(*[F.lit(w) for w in V.ADDRESS_WORDS]))
 
 
-def first_phrase(normal: Column, phrases: list[str], whole_words: bool = True) -> Column:
-    """The first of phrases that normal holds."""
-    inside = (lambda p: has_words(normal, p)) if whole_words else (lambda p: F.contains(normal, p))
-    any_of = "(?:" + "|".join(map(re.escape, phrases)) + ")"
-    return F.when(normal.rlike(rf"(?:^| ){any_of}(?: |$)" if whole_words else any_of), F.get(F.filter(constant(phrases), inside), 0))
+def first_phrase(normal: Column, phrases: list[str]) -> Column:
+    """The first of phrases that normal contains."""
+    any_of = "|".join(map(re.escape, phrases))
+    return F.when(normal.rlike(any_of), F.get(F.filter(constant(phrases), lambda p: F.contains(normal, p)), 0))
 
 
 def _role_struct(role: str, score: float):
     return lambda phrase: F.when(phrase.isNotNull(), F.struct(F.lit(role).alias("role"), phrase.alias("label"), F.lit(score).alias("score")))
 
 
+def _layers(phrases: list[str]) -> list[list[str]]:
+    """Phrases parted so that none begins another of its part: at one word of a text at most one phrase of a part stands."""
+    words = {p: p.split() for p in phrases}
+    layers: dict[int, list[str]] = {}
+    for p in words:
+        layers.setdefault(sum(words[q] == words[p][: len(words[q])] for q in words if q != p), []).append(p)
+    return [layers[depth] for depth in sorted(layers)]
+
+
+def phrases_in(normal: Column, phrases: list[str], at_start: bool = False) -> Column:
+    """Every one of phrases that normal holds, or begins with, as whole words; each pattern finds those of one layer at every word."""
+    place = "^" if at_start else "(?:^|(?<= ))"
+    patterns = [f"{place}(?=({'|'.join(map(re.escape, layer))})(?: |$))" for layer in _layers(phrases)]
+    return F.concat(*[F.regexp_extract_all(normal, F.lit(p), F.lit(1)) for p in patterns])
+
+
+def _entries(phrases: Column, table: dict[str, dict]) -> Column:
+    """The records of phrases, which carry their place in the order of the table."""
+    known = constant({p: {"place": i} | entry for i, (p, entry) in enumerate(table.items())})
+    return F.transform(phrases, lambda p: F.try_element_at(known, p))
+
+
+#: Label phrases of amounts in the order in which they decide: roles that aren't payable, then the payable total.
+_AMOUNT_PHRASES: dict[str, dict] = {}
+for _role, _score, _phrases in [*V.AMOUNT_ROLES, *(("final_total", s, [a]) for f, a, s in V.LABEL_ALIASES if f == "transaction_amount")]:
+    for _phrase in _phrases:
+        _AMOUNT_PHRASES.setdefault(_phrase, {"role": _role, "label": _phrase, "score": _score})
+
+
 def amount_role(line: Column) -> Column:
     """struct(role, label, score) of a line: roles that aren't payable first, then the payable total; null if none."""
-    return let(norm_label(line), _amount_role_of)
+    return let(norm_label(line), amount_role_of)
+
+
+def amount_role_of(normal: Column) -> Column:
+    """amount_role of a line in the form of norm_label."""
+
+    def role(first: Column) -> Column:
+        cap = F.when(first["role"] != "final_total", 1.0).when(starts_words(normal, first["label"]), 0.98).otherwise(0.95)
+        return F.when(first.isNotNull(), F.struct(first["role"].alias("role"), first["label"].alias("label"), F.least(first["score"], cap).alias("score")))
 
+    return let(F.array_min(_entries(phrases_in(normal, list(_AMOUNT_PHRASES)), _AMOUNT_PHRASES)), role)
 
-def _amount_role_of(label: Column) -> Column:
-    found = []
-    for role, score, phrases in V.AMOUNT_ROLES:
-        found.append(let(first_phrase(label, phrases), _role_struct(role, score)))
-    totals = constant([{"label": a, "score": s} for f, a, s in V.LABEL_ALIASES if f == "transaction_amount"])
-    def total_role(total: Column) -> Column:
-        cap = F.when(starts_words(label, total["label"]), 0.98).otherwise(0.95)
-        return F.when(total.isNotNull(), F.struct(F.lit("final_total").alias("role"), total["label"].alias("label"), F.least(total["score"], cap).alias("score")))
 
-    names = "|".join(re.escape(a) for f, a, _ in V.LABEL_ALIASES if f == "transaction_amount")
-    found.append(F.when(label.rlike(rf"(?:^| )(?:{names})(?: |$)"), let(F.get(F.filter(totals, lambda t: has_words(label, t["label"])), 0), total_role)))
-    return F.coalesce(*found)
+def alias_hits(normal: Column) -> Column:
+    """array of struct(field, alias, score, priority): every label alias that a line in the form of norm_label holds as whole words."""
+    table = {a: {"field": f, "alias": a, "score": s, "priority": i} for i, (f, a, s) in enumerate(V.LABEL_ALIASES)}
+    return F.transform(_entries(F.array_distinct(phrases_in(normal, list(table))), table), lambda e: F.struct(*[e[c].alias(c) for c in ("field", "alias", "score", "priority")]))
 
 
 def date_role(text: Column) -> Column:
     """struct(role, label, score) of a line, or null."""
-    return let(norm(text), lambda n: F.coalesce(*[let(first_phrase(n, phrases, whole_words=False), _role_struct(role, score)) for role, score, phrases in V.DATE_ROLES]))
+    return let(norm(text), lambda n: F.coalesce(*[let(first_phrase(n, phrases), _role_struct(role, score)) for role, score, phrases in V.DATE_ROLES]))
 
 
 def label_field(label: Column) -> Column:
     """struct(field, alias, score): the first alias, in order, that a label equals or begins with; null if none."""
-    table = constant([{"field": f, "alias": a, "score": s} for f, a, s in V.LABEL_ALIASES])
-    names = "^(?:" + "|".join(re.escape(a) for _, a, _ in V.LABEL_ALIASES) + ")(?: |$)"
-    return let(norm_label(label), lambda normal: F.when((F.length(normal) <= 80) & normal.rlike(names), F.get(F.filter(table, lambda t: starts_words(normal, t["alias"])), 0)))
+    table = {a: {"field": f, "alias": a, "score": s} for f, a, s in V.LABEL_ALIASES}
+    first = lambda normal: F.array_min(_entries(phrases_in(normal, list(table), at_start=True), table))
+    plain = lambda e: F.when(e.isNotNull(), F.struct(e["field"].alias("field"), e["alias"].alias("alias"), e["score"].alias("score")))
+    return let(norm_label(label), lambda normal: F.when(F.length(normal) <= 80, let(first(normal), plain)))
 
 
 def label_allowed(field: Column, normal: Column, doc_type: Column | None = None) -> Column:

@@ -53,7 +53,7 @@ def top_alternatives(spark, sf):
 
 def payable_reconciliation(spark, sf):
     """Expected payable amount from its parts."""
-    amounts = _raw(spark, sf).filter("field_name = 'transaction_amount'")  # leaves the optimizer only the producers of amounts
+    amounts = X.all_candidates(_lines(spark, sf), amounts_only=True)
     return R.expected_payable(R.dedup_candidates(amounts)).select("doc_id", "currency", F.round("expected", 2).alias("expected"), "validation")
 
 
@@ -95,7 +95,7 @@ def document_numbers(spark, sf):
 def neighbour_context(spark, sf):
     """A value on the line after its label."""
     base = fx.invoices(spark, sf).select("doc_id", F.lit(1).alias("page_number"), F.concat(F.lit("Amount Due\nRp "), F.format_number("total", 2), F.lit("\nthank you")).alias("raw_text"))
-    found = X.context_candidates(X.line_facts(X.page_lines(base)), X.alias_table(spark)).filter("label_distance = 1 and source_label = 'amount due'")
+    found = X.context_candidates(X.line_facts(X.page_lines(base))).filter("label_distance = 1 and source_label = 'amount due'")
     return found.select("doc_id", F.col("value_num").cast(D).alias("amount"), "score", "label_relation", "candidate_only")
 
 
@@ -126,7 +126,7 @@ def text_usability(spark, sf):
 def visual_ocr_needed(spark, sf):
     pages = fx.invoice_pages(spark, sf)
     lines = X.page_lines(pages)
-    return R.needs_visual_ocr(pages, X.label_hits(lines, X.alias_table(spark)), R.winners(_clean(spark, sf))).select("doc_id", "page_number")
+    return R.needs_visual_ocr(pages, X.label_hits(lines), R.winners(_clean(spark, sf))).select("doc_id", "page_number")
 
 
 def evidence_grounding(spark, sf):

@@ -46,8 +46,8 @@ def test_page_numbers_stay_with_their_fields(spark):
 
 
 def test_compound_lines_are_cut(spark):
-    lines = X.split_compound_lines(X.page_lines(pages(spark, "Invoice No: A-1 | Date: 01/02/2024\nplain | text")))
-    assert [r["line"] for r in lines.orderBy("line_no", "part_no").collect()] == ["Invoice No: A-1", "Date: 01/02/2024", "plain | text"]
+    lines = X.page_lines(pages(spark, "Invoice No: A-1 | Date: 01/02/2024\nplain | text"))
+    assert [r["line"] for r in lines.orderBy("line_no").collect()] == ["Invoice No: A-1", "Date: 01/02/2024", "plain | text"]
 
 
 def test_words_become_rows(spark):
