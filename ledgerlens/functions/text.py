@@ -216,18 +216,31 @@ def amount_role(line: Column) -> Column:
 
 def amount_role_of(normal: Column) -> Column:
     """amount_role of a line in the form of norm_label."""
+    return role_among(phrases_in(normal, list(_AMOUNT_PHRASES)), normal)
+
+
+def role_among(phrases: Column, normal: Column) -> Column:
+    """The role that the first of phrases in the order of amount roles gives a line in the form of norm_label."""
 
     def role(first: Column) -> Column:
         cap = F.when(first["role"] != "final_total", 1.0).when(starts_words(normal, first["label"]), 0.98).otherwise(0.95)
         return F.when(first.isNotNull(), F.struct(first["role"].alias("role"), first["label"].alias("label"), F.least(first["score"], cap).alias("score")))
 
-    return let(F.array_min(_entries(phrases_in(normal, list(_AMOUNT_PHRASES)), _AMOUNT_PHRASES)), role)
+    return let(F.array_min(_entries(phrases, _AMOUNT_PHRASES)), role)
+
+
+_ALIASES = {a: {"field": f, "alias": a, "score": s} for f, a, s in V.LABEL_ALIASES}
+
+
+def known_phrases(normal: Column) -> Column:
+    """The phrases of amount roles and the label aliases that a line in the form of norm_label holds as whole words."""
+    return F.array_distinct(phrases_in(normal, list(_AMOUNT_PHRASES | _ALIASES)))
 
 
-def alias_hits(normal: Column) -> Column:
-    """array of struct(field, alias, score, priority): every label alias that a line in the form of norm_label holds as whole words."""
-    table = {a: {"field": f, "alias": a, "score": s, "priority": i} for i, (f, a, s) in enumerate(V.LABEL_ALIASES)}
-    return F.transform(_entries(F.array_distinct(phrases_in(normal, list(table))), table), lambda e: F.struct(*[e[c].alias(c) for c in ("field", "alias", "score", "priority")]))
+def aliases_among(phrases: Column) -> Column:
+    """array of struct(field, alias, score, priority) of those phrases that are label aliases."""
+    found = F.filter(_entries(phrases, _ALIASES), lambda e: e.isNotNull())
+    return F.transform(found, lambda e: F.struct(e["field"].alias("field"), e["alias"].alias("alias"), e["score"].alias("score"), e["place"].alias("priority")))
 
 
 def date_role(text: Column) -> Column:
@@ -237,8 +250,7 @@ def date_role(text: Column) -> Column:
 
 def label_field(label: Column) -> Column:
     """struct(field, alias, score): the first alias, in order, that a label equals or begins with; null if none."""
-    table = {a: {"field": f, "alias": a, "score": s} for f, a, s in V.LABEL_ALIASES}
-    first = lambda normal: F.array_min(_entries(phrases_in(normal, list(table), at_start=True), table))
+    first = lambda normal: F.array_min(_entries(phrases_in(normal, list(_ALIASES), at_start=True), _ALIASES))
     plain = lambda e: F.when(e.isNotNull(), F.struct(e["field"].alias("field"), e["alias"].alias("alias"), e["score"].alias("score")))
     return let(norm_label(label), lambda normal: F.when(F.length(normal) <= 80, let(first(normal), plain)))
 
