@@ -89,6 +89,19 @@ def remarks(documents: DataFrame, failures: DataFrame, first: int | None = None)
     )
 
 
+def confidence_rule_failures(documents: DataFrame, threshold: float = RULE_CONFIG["confidence_threshold"]) -> DataFrame:
+    """Documents (doc_id, confidence) below the threshold; without a confidence too."""
+    rule = _rule(13, "INV-R008", "Confidence below threshold", F.lit("AI confidence below threshold. Manual verification required."), ~F.coalesce(F.col("confidence") >= threshold, F.lit(False)))
+    return documents.select("doc_id", F.inline(F.array_compact(F.array(rule))))
+
+
+def stamp_color_failures(stamps: DataFrame, least_ratio: float) -> DataFrame:
+    """Delivery notes with stamps (doc_id, color_ratio) none of which is coloured enough. Notes without a stamp fail another rule."""
+    best = stamps.groupBy("doc_id").agg(F.max("color_ratio").alias("best"))
+    rule = _rule(4, "DN-R003", "Stamp color required", F.lit("Company stamp is detected but color requirement is not met."), ~F.coalesce(F.col("best") >= least_ratio, F.lit(False)))
+    return best.select("doc_id", F.inline(F.array_compact(F.array(rule))))
+
+
 def verdicts(documents: DataFrame, failures: DataFrame, threshold: float = 85.0) -> DataFrame:
     """doc_id, confidence, result: OK if no rule failed and the confidence reaches the threshold."""
     bad = failures.select("doc_id").distinct().withColumn("bad", F.lit(True))
