@@ -129,6 +129,12 @@ def test_licenses(docs, none, rows):
         assert set(got["base_labels"].split(",")) <= set(got["labels"].split(","))
 
 
+def test_license_words_fold_a_to_z_only(spark):
+    texts = [("Under The MIT License",), ("under the m\u0130t license",), ("CC BY NC",), ("\u212acc by nc",)]
+    out = license_scan.scan_licenses(spark.createDataFrame([(i, t) for i, (t,) in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_words, r.base_labels) for r in out] == [(4, "mit"), (4, ""), (3, "cc-by-nc"), (3, "")]
+
+
 def test_changed_license_copy_is_found(spark):
     text = "x " * 30 + "Permission is hereby granted, free of charge, to any new person obtaining a copy of this software and documentation files"
     out = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
