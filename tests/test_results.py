@@ -7,6 +7,7 @@ from ledgerlens.operators import extract as X
 from ledgerlens.operators import resolve as W
 from ledgerlens.operators import results as R
 from ledgerlens.operators import verify as O
+from ledgerlens.storage import stored
 
 PAGES = f"doc_id long, page_number int, raw_text string, tokens_json {X.TOKENS}"
 
@@ -29,26 +30,22 @@ def test_lines_from_tokens(spark):
     ]
 
 
-def found(spark, tokens):
-    pages = spark.createDataFrame([(1, 1, None, tokens)], PAGES)
-    raw = X.all_candidates(X.token_lines(pages), X.page_tokens(pages))
-    return raw, {r.field_name: (r.value, r.status) for r in W.resolved(raw).collect()}
-
-
-def test_a_block_right_of_or_below_its_label(spark):
-    right = [word("Grand Total", 0, 0, None), word("Rp 5.000", 100, 0, None)]
-    below = [word("Invoice Number", 0, 0, None), word("INV-77", 0, 12, None)]
-    far = [word("Grand Total", 0, 0, None), word("Rp 7.000", 500, 200, None)]
-    assert found(spark, right)[1]["transaction_amount"] == ("5000.00", "FOUND")
-    assert found(spark, below)[1]["document_number"] == ("INV-77", "FOUND")
-    methods = {r.extraction_method for r in found(spark, far)[0].collect()}
-    assert "spatial_label_value" not in methods
-
-
-def test_pdf_words_feed_no_split_amounts(spark):
+def test_layout_producers(spark):
+    """A block right of or below its label is its value, one far away isn't; words of a PDF feed no split amounts."""
     column = lambda space: [word("Subtotal", 0, 0, space), word("Rp 900", 300, 30, space)]
-    assert "split_financial" in {r.extraction_method for r in found(spark, column(None))[0].collect()}
-    assert "split_financial" not in {r.extraction_method for r in found(spark, column("pdf_points"))[0].collect()}
+    cases = {
+        1: [word("Grand Total", 0, 0, None), word("Rp 5.000", 100, 0, None)],
+        2: [word("Invoice Number", 0, 0, None), word("FX/77", 0, 12, None)],
+        3: [word("Grand Total", 0, 0, None), word("Rp 7.000", 500, 200, None)],
+        4: column(None),
+        5: column("pdf_points"),
+    }
+    pages = spark.createDataFrame([(i, 1, None, tokens) for i, tokens in cases.items()], PAGES)
+    raw = stored(X.all_candidates(X.token_lines(pages), X.page_tokens(pages)))
+    won = {(r.doc_id, r.field_name): (r.value, r.status) for r in W.resolved(raw).collect()}
+    assert won[1, "transaction_amount"] == ("5000.00", "FOUND") and won[2, "document_number"] == ("FX/77", "FOUND")
+    methods = {(r.doc_id, r.extraction_method) for r in raw.collect()}
+    assert (3, "spatial_label_value") not in methods and (4, "split_financial") in methods and (5, "split_financial") not in methods
 
 
 def test_document_ocr(spark):
