@@ -88,7 +88,8 @@ def confidence_components(spark, sf):
         (level > 1).alias("has_number"), (F.col("o_orderstatus") != "P").alias("has_amount"), (F.col("o_orderstatus") == "F").alias("barcode_decoded"), (F.col("o_orderstatus") == "O").alias("barcode_found"),
         *[F.when(level == i, F.lit(10.0 * i)).alias(c) for i, c in enumerate(("resolution_score", "blur_score", "brightness_score", "page_readability_score"), 1)],
     )
-    return R.confidence_components(docs, fx.detections(spark, sf))
+    coarse = fx.detections(spark, sf).withColumn("confidence", F.floor(F.col("confidence") / 8) * 8.0)  # means of these are never halfway between cents
+    return R.confidence_components(docs, coarse)
 
 
 def validation_counts(spark, sf):
@@ -159,7 +160,7 @@ SELECT 'Q' || job_id AS queue_id, CAST(CASE WHEN any_value(legacy) THEN count(*)
   CASE WHEN NOT any_value(legacy) THEN '{{"n":' || (max(document_index) + 1) || '}}' END AS summary FROM owned JOIN c ON c_custkey = job_id GROUP BY job_id""",
     "confidence_parts": fx.duck("""SELECT o_orderkey AS doc_id, round(coalesce(CASE WHEN lv > 1 AND o_orderstatus <> 'P' THEN (round(o_totalprice / 10000, 1) + 80) / 2 WHEN lv > 1 THEN round(o_totalprice / 10000, 1) WHEN o_orderstatus <> 'P' THEN 80 END, 0), 2) AS ocr_field, CASE WHEN lv > 1 AND o_orderstatus <> 'P' THEN 100.0::DOUBLE ELSE 30.0::DOUBLE END AS field_validation,
   round(coalesce(c, 0), 2) AS object_detection, CASE o_orderstatus WHEN 'F' THEN 100.0::DOUBLE WHEN 'O' THEN 70.0::DOUBLE ELSE 0.0::DOUBLE END AS barcode, round(CASE WHEN lv <= 4 THEN (300 + 10.0 * lv) / 4 ELSE 100 END, 2)::DOUBLE AS document_quality
-  FROM (SELECT *, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS lv FROM orders) LEFT JOIN (SELECT doc_id, avg(confidence) AS c FROM fx_detections GROUP BY 1) d ON d.doc_id = o_orderkey"""),
+  FROM (SELECT *, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS lv FROM orders) LEFT JOIN (SELECT doc_id, avg(floor(confidence / 8) * 8) AS c FROM fx_detections GROUP BY 1) d ON d.doc_id = o_orderkey"""),
     "validation_counts": fx.duck(f"""SELECT i.doc_id, CAST(8 + CASE WHEN i.doc_id % 7 <> 1 THEN 1 ELSE 0 END + CASE WHEN r.has THEN 1 ELSE 0 END - coalesce(n, 0) AS INTEGER) AS passed_validation, CAST(coalesce(n, 0) AS INTEGER) AS failed_validation, coalesce(items, '') AS failed_items, coalesce(advice, '') AS recommendation
   FROM fx_invoices i JOIN (SELECT doc_id, true AS has FROM fx_invoices) r ON r.doc_id = i.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(r.n, '; ' ORDER BY r.o) AS items,
   string_agg(CASE r.id WHEN 'INV-R004' THEN 'Upload an invoice with a valid Materai.' WHEN 'INV-R006' THEN 'Ensure the vendor signature is clearly visible.' WHEN 'INV-R011' THEN 'Verify the reimbursement transaction date.' END, ' ' ORDER BY r.o) AS advice FROM ({ver._RULES}) GROUP BY 1) f ON f.doc_id = i.doc_id"""),
