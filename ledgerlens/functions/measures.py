@@ -88,3 +88,10 @@ def y_aligned(a: Column, b: Column, tolerance: float = 60) -> Column:
 def backoff_seconds(attempt: Column, cap: int | None = None) -> Column:
     delay = F.lit(30) * F.pow(F.lit(2), attempt - 1)
     return (F.least(F.lit(cap).cast("double"), delay) if cap else delay).cast("long")
+
+
+def quad_box(points: Column) -> Column:
+    """The box around the corner points of a quadrilateral, array<array<double>>; null where a point lacks a coordinate."""
+    side = lambda i: F.transform(points, lambda p: F.get(p, F.lit(i)))
+    whole = (F.size(points) > 0) & F.forall(points, lambda p: F.coalesce(F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull(), F.lit(False)))
+    return F.when(whole, F.array(F.array_min(side(0)), F.array_min(side(1)), F.array_max(side(0)), F.array_max(side(1))))

@@ -84,6 +84,33 @@ def duplicate_invoices(invoices: DataFrame, months: int = 6) -> DataFrame:
     return invoices.join(found.select(*key, "day", F.col("seen.id").alias("matched_id"), F.col("seen.day").alias("matched_day"), "n_matches"), [*key, "day"]).select("doc_id", "matched_id", "matched_day", "n_matches")
 
 
+def duplicate_report(invoices: DataFrame, months: int = 6) -> DataFrame:
+    """Every invoice (doc_id, pv_no, number, vendor, amount, day) with the verdict of the duplicate check, the matched document, its PV and date,
+    and a reason. Invoices without a number, vendor, amount or day can't be checked."""
+    matched = invoices.select(F.col("doc_id").alias("matched_id"), F.col("pv_no").alias("matched_pv"))
+    found = duplicate_invoices(invoices, months).join(matched, "matched_id")
+    whole = F.col("number").isNotNull() & F.col("vendor").isNotNull() & F.col("amount").isNotNull() & F.col("day").isNotNull()
+    same = F.concat(F.lit("Same number, vendor and amount as "), F.coalesce("matched_pv", F.lit("a document without PV")), F.lit(" of "), F.col("matched_day").cast("string"), F.lit("."))
+    joined = invoices.join(found, "doc_id", "left")
+    return joined.select(
+        "doc_id",
+        F.when(F.col("matched_id").isNotNull(), "DUPLICATE").when(whole, "UNIQUE").otherwise("NOT_APPLICABLE").alias("result"),
+        "matched_id", "matched_pv", "matched_day",
+        F.when(F.col("matched_id").isNotNull(), same).when(whole, F.lit(f"No equal invoice within {months} months.")).otherwise("Number, vendor, amount or date is missing.").alias("reason"),
+    )
+
+
+def job_children(jobs: DataFrame, finals: DataFrame, ocr: DataFrame, detections: DataFrame, audit: DataFrame) -> DataFrame:
+    """Jobs with their final result (the last by time), pages read and their mean confidence, detections and their best one, and audit rows with
+    the last action. Each child is one row a job before it is joined, so children never multiply each other."""
+    f = finals.groupBy("job_id").agg(F.max_by("result", "finished_at").alias("final_result"))
+    o = ocr.groupBy("job_id").agg(F.count("*").alias("n_pages"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+    d = detections.groupBy("job_id").agg(F.count("*").alias("n_detections"), F.max("confidence").alias("best"))
+    a = audit.groupBy("job_id").agg(F.count("*").alias("n_audit"), F.max_by("action", "at").alias("last_action"))
+    joined = jobs.join(f, "job_id", "left").join(o, "job_id", "left").join(d, "job_id", "left").join(a, "job_id", "left")
+    return joined.na.fill(0, ["n_pages", "n_detections", "n_audit"])
+
+
 def latency_by_hour(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy(F.date_trunc("hour", "finished_at").alias("hour")).agg(F.count("*").alias("jobs"), F.count_if(F.col("result") == "OK").alias("ok"), *[F.percentile("duration_ms", p).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
 

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import measures as M
+from ledgerlens.operators import ops as P
 from ledgerlens.plans import fixtures as fx
 from ledgerlens.plans import operations as op
 from ledgerlens.sources import files as S
@@ -132,7 +134,34 @@ def stream_retries(spark, sf):
     return spark.read.schema(retry_timers.OUTPUT).parquet(f"{out}/rows")
 
 
-QUERIES = {f.__name__: f for f in (jobs_updated, results_upserted, envelope_files, truth_load, audit_appended, stream_intake, stream_retries)}
+def duplicate_report(spark, sf):
+    """Orders of one priority, customer and price class as invoices of equal number; every priority named high has no PV."""
+    o = fx.read(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderpriority") != "2-HIGH", F.concat(F.lit("PV"), "o_orderkey")).alias("pv_no"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("number"),
+        F.col("o_custkey").alias("vendor"), F.floor(F.col("o_totalprice") / 50000).cast("long").alias("amount"), F.to_date("o_orderdate").alias("day"),
+    )
+    return P.duplicate_report(o).select("doc_id", "result", "matched_id", "matched_pv", F.col("matched_day").cast("string").alias("matched_day"), "reason")
+
+
+def job_children(spark, sf):
+    """Jobs with four kinds of children."""
+    jobs = op._jobs(spark, sf)
+    items = fx.read(spark, sf, "lineitem")
+    finals = items.select(F.col("l_orderkey").alias("job_id"), F.concat_ws("-", "l_returnflag", "l_linestatus").alias("result"), F.struct("l_shipdate", "l_partkey", "l_extendedprice").alias("finished_at"))
+    ocr = items.select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_tax") > 0, F.col("l_quantity")).alias("confidence"))
+    found = fx.detections(spark, sf).select(F.col("doc_id").alias("job_id"), "confidence")
+    audit = jobs.select("job_id", F.explode(F.array(F.struct(F.lit("JOB_ACCEPTED").alias("action"), F.lit(1).alias("at")), F.struct(F.concat(F.lit("JOB_"), "status").alias("action"), F.lit(2).alias("at")))).alias("a")).select("job_id", "a.*")
+    return P.job_children(jobs.select("job_id", "status"), finals, ocr, found, audit)
+
+
+def quad_boxes(spark, sf):
+    """Boxes of detections given as corners in turn."""
+    b = lambda i: F.get("box", F.lit(i))
+    quad = F.array(F.array(b(2), b(1)), F.array(b(2), b(3)), F.array(b(0), b(3)), F.array(b(0), b(1)))
+    return fx.detections(spark, sf).select("det_id", M.quad_box(quad).alias("q")).select("det_id", *[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
+QUERIES = {f.__name__: f for f in (jobs_updated, results_upserted, envelope_files, truth_load, audit_appended, stream_intake, stream_retries, duplicate_report, job_children, quad_boxes)}
 
 ORACLES = {
     "jobs_updated": """WITH changes AS (SELECT l_orderkey AS job_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_extendedprice) AS no,
@@ -153,4 +182,12 @@ SELECT o_orderkey AS job_id, coalesce(arg_max(status, no) FILTER (status IS NOT
   UNION ALL SELECT NULL, '{{"queue_no": ' || k, 'reject' FROM ({op._M}), range(1, 3) r(run) WHERE k % 3 = 2 AND (run = 1 AND k % 2 = 0 OR run = 2 AND (k % 2 = 1 OR k % 5 = 0))""",
     "stream_retries": """SELECT user_id AS job_id, CAST(n AS INTEGER) AS attempt, CASE WHEN n >= 5 THEN 'DLQ' ELSE 'RETRY' END AS status, CAST(CASE WHEN n >= 5 THEN ms ELSE ms + 30000 * power(2, n - 1) END AS BIGINT) AS due_ms FROM (
   SELECT user_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events WHERE event_type = 'error') WHERE n >= 5 OR ms + 30000 * power(2, n - 1) < (SELECT epoch_us(max(ts)) // 1000 FROM events)""",
+    "duplicate_report": """WITH i AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderpriority <> '2-HIGH' THEN 'PV' || o_orderkey END AS pv, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS number, o_custkey AS vendor, floor(o_totalprice / 50000) AS amount, CAST(o_orderdate AS DATE) AS day FROM orders),
+m AS (SELECT a.doc_id, arg_max(b.doc_id, (b.day, b.doc_id)) AS matched_id, arg_max(coalesce(b.pv, ''), (b.day, b.doc_id)) AS pv, max(b.day) AS matched_day FROM i a JOIN i b USING (number, vendor, amount) WHERE b.day < a.day AND b.day >= CAST(a.day - INTERVAL 6 MONTH AS DATE) GROUP BY 1)
+SELECT i.doc_id, CASE WHEN matched_id IS NOT NULL THEN 'DUPLICATE' WHEN number IS NOT NULL THEN 'UNIQUE' ELSE 'NOT_APPLICABLE' END AS result, matched_id, nullif(m.pv, '') AS matched_pv, CAST(matched_day AS VARCHAR) AS matched_day,
+  CASE WHEN matched_id IS NOT NULL THEN 'Same number, vendor and amount as ' || coalesce(nullif(m.pv, ''), 'a document without PV') || ' of ' || matched_day || '.' WHEN number IS NOT NULL THEN 'No equal invoice within 6 months.' ELSE 'Number, vendor, amount or date is missing.' END AS reason FROM i LEFT JOIN m ON m.doc_id = i.doc_id""",
+    "job_children": fx.duck(f"""SELECT j.job_id, status, final_result, coalesce(n_pages, 0) AS n_pages, mean_confidence, coalesce(n_detections, 0) AS n_detections, best, CAST(2 AS BIGINT) AS n_audit, 'JOB_' || status AS last_action FROM ({op._J}) j
+  LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag || '-' || l_linestatus, (l_shipdate, l_partkey, l_extendedprice)) AS final_result, count(*) AS n_pages, round(avg(CASE WHEN l_tax > 0 THEN l_quantity END), 4) AS mean_confidence FROM lineitem GROUP BY 1) l ON l_orderkey = j.job_id
+  LEFT JOIN (SELECT doc_id, count(*) AS n_detections, max(confidence) AS best FROM fx_detections GROUP BY 1) d ON d.doc_id = j.job_id"""),
+    "quad_boxes": fx.duck("SELECT det_id, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM fx_detections"),
 }
