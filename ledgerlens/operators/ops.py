@@ -111,6 +111,23 @@ def job_children(jobs: DataFrame, finals: DataFrame, ocr: DataFrame, detections:
     return joined.na.fill(0, ["n_pages", "n_detections", "n_audit"])
 
 
+def queue_depth(jobs: DataFrame) -> DataFrame:
+    """Jobs (created_at, finished_at) that wait at the end of each hour in which one came or went. Hours are counted first, so the running
+    sum that follows goes over one row an hour of the calendar, however many jobs there are."""
+    moves = F.array(F.struct(F.col("created_at").alias("at"), F.lit(1).alias("step")), F.struct(F.col("finished_at").alias("at"), F.lit(-1).alias("step")))
+    by_hour = jobs.select(F.inline(moves)).filter("at is not null").groupBy(F.date_trunc("hour", "at").alias("hour")).agg(F.count_if(F.col("step") == 1).alias("came"), F.count_if(F.col("step") == -1).alias("went"))
+    return by_hour.withColumn("depth", F.sum(F.col("came") - F.col("went")).over(Window.orderBy("hour")))
+
+
+def message_counters(messages: DataFrame) -> DataFrame:
+    """Messages (source_system, message_id, return_code, attempts) by source and return code: how many, how many came again, retries, and those
+    given up. A message that came again is counted under the code of its last arrival (at)."""
+    each = messages.groupBy("source_system", "message_id").agg(F.count("*").alias("arrivals"), F.max_by("return_code", "at").alias("return_code"), F.max("attempts").alias("attempts"))
+    return each.groupBy("source_system", "return_code").agg(
+        F.count("*").alias("messages"), F.sum(F.col("arrivals") - 1).alias("duplicates"), F.sum("attempts").alias("retries"), F.count_if(F.col("attempts") >= MAX_ATTEMPTS).alias("given_up")
+    )
+
+
 def latency_by_hour(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy(F.date_trunc("hour", "finished_at").alias("hour")).agg(F.count("*").alias("jobs"), F.count_if(F.col("result") == "OK").alias("ok"), *[F.percentile("duration_ms", p).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
 

@@ -154,6 +154,20 @@ def job_children(spark, sf):
     return P.job_children(jobs.select("job_id", "status"), finals, ocr, found, audit)
 
 
+def queue_depth(spark, sf):
+    """Waiting orders by hour: they come with their order and go with their first shipment."""
+    gone = fx.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("finished_at"))
+    jobs = fx.read(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("created_at")).join(gone, "o_orderkey", "left")
+    return P.queue_depth(jobs).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "came", "went", "depth")
+
+
+def message_counters(spark, sf):
+    """Events as messages of their type and user."""
+    e = fx.read(spark, sf, "events")
+    code = F.when(F.col("value") < 5, "INTERNAL_ERROR").when(F.col("value") < 10, "PARTIAL_SUCCESS").otherwise("SUCCESS")
+    return P.message_counters(e.select(F.col("event_type").alias("source_system"), F.col("user_id").alias("message_id"), code.alias("return_code"), F.struct("ts", "event_id").alias("at"), F.floor(F.col("value") / 10).cast("long").alias("attempts")))
+
+
 def quad_boxes(spark, sf):
     """Boxes of detections given as corners in turn."""
     b = lambda i: F.get("box", F.lit(i))
@@ -161,7 +175,7 @@ def quad_boxes(spark, sf):
     return fx.detections(spark, sf).select("det_id", M.quad_box(quad).alias("q")).select("det_id", *[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-QUERIES = {f.__name__: f for f in (jobs_updated, results_upserted, envelope_files, truth_load, audit_appended, stream_intake, stream_retries, duplicate_report, job_children, quad_boxes)}
+QUERIES = {f.__name__: f for f in (jobs_updated, results_upserted, envelope_files, truth_load, audit_appended, stream_intake, stream_retries, duplicate_report, job_children, quad_boxes, queue_depth, message_counters)}
 
 ORACLES = {
     "jobs_updated": """WITH changes AS (SELECT l_orderkey AS job_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_extendedprice) AS no,
@@ -190,4 +204,9 @@ SELECT i.doc_id, CASE WHEN matched_id IS NOT NULL THEN 'DUPLICATE' WHEN number I
   LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag || '-' || l_linestatus, (l_shipdate, l_partkey, l_extendedprice)) AS final_result, count(*) AS n_pages, round(avg(CASE WHEN l_tax > 0 THEN l_quantity END), 4) AS mean_confidence FROM lineitem GROUP BY 1) l ON l_orderkey = j.job_id
   LEFT JOIN (SELECT doc_id, count(*) AS n_detections, max(confidence) AS best FROM fx_detections GROUP BY 1) d ON d.doc_id = j.job_id"""),
     "quad_boxes": fx.duck("SELECT det_id, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM fx_detections"),
+    "queue_depth": """WITH moves AS (SELECT o_orderdate AS moment, 1 AS step FROM orders UNION ALL SELECT min(l_shipdate), -1 FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey),
+hours AS (SELECT date_trunc('hour', moment) AS h, count(*) FILTER (step = 1) AS came, count(*) FILTER (step = -1) AS went FROM moves GROUP BY 1)
+SELECT strftime(h, '%Y-%m-%d %H') AS hour, came, went, CAST(sum(came - went) OVER (ORDER BY h) AS BIGINT) AS depth FROM hours""",
+    "message_counters": """WITH each AS (SELECT event_type AS source_system, user_id, count(*) AS arrivals, arg_max(CASE WHEN value < 5 THEN 'INTERNAL_ERROR' WHEN value < 10 THEN 'PARTIAL_SUCCESS' ELSE 'SUCCESS' END, (ts, event_id)) AS return_code, max(CAST(floor(value / 10) AS BIGINT)) AS attempts FROM events GROUP BY ALL)
+SELECT source_system, return_code, count(*) AS messages, CAST(sum(arrivals - 1) AS BIGINT) AS duplicates, CAST(sum(attempts) AS BIGINT) AS retries, count(*) FILTER (attempts >= 5) AS given_up FROM each GROUP BY ALL""",
 }
