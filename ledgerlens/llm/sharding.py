@@ -61,7 +61,3 @@ def op2_byte_prefix_shards(spark, sf_dir):
     return balanced_shards(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
-
-
-# DuckDB has no crc32; the table-driven checksum is built from a recursive polynomial division per byte value.
-OP2_SQL = None
