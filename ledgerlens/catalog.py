@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.plans import evaluation, fields, layouts, operations, pipelines, results, verification
+from ledgerlens.plans import evaluation, fields, layouts, monitoring, operations, pipelines, results, verification
 
-MODULES = [fields, layouts, verification, results, evaluation, operations, pipelines]
+MODULES = [fields, layouts, verification, results, evaluation, operations, pipelines, monitoring]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

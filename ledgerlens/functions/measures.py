@@ -95,3 +95,9 @@ def quad_box(points: Column) -> Column:
     side = lambda i: F.transform(points, lambda p: F.get(p, F.lit(i)))
     whole = (F.size(points) > 0) & F.forall(points, lambda p: F.coalesce(F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull(), F.lit(False)))
     return F.when(whole, F.array(F.array_min(side(0)), F.array_min(side(1)), F.array_max(side(0)), F.array_max(side(1))))
+
+
+def field_blend(text: Column, pattern: Column, layout: Column, form: Column) -> Column:
+    """Confidence of a field from its text's, its pattern's, its layout's and its format's; null ones count as 0."""
+    parts = (text, pattern, layout, form)
+    return sum((F.coalesce(c.cast("double"), F.lit(0.0)) * w for c, w in zip(parts, V.FIELD_BLEND_WEIGHTS)), F.lit(0.0))

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import fixed_values as V
+from ledgerlens.functions import measures as M
 from ledgerlens.functions import text as T
 from ledgerlens.operators import ops as P
 from ledgerlens.plans import fixtures as fx
@@ -204,7 +205,7 @@ def retention(spark, sf):
 
 def field_confidence_blend(spark, sf):
     k = F.col("job_id")
-    return _jobs(spark, sf).select("job_id", F.round((k % 100) * 0.45 + (k % 90) * 0.25 + (k % 80) * 0.2 + (k % 70) * 0.1, 4).alias("confidence"))
+    return _jobs(spark, sf).select("job_id", F.round(M.field_blend(k % 100, k % 90, k % 80, k % 70), 4).alias("confidence"))
 
 
 def largest_amount(spark, sf):

@@ -6,9 +6,10 @@ rerun after a failure gives the same table: rows are replaced by key, and a job
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.storage import stored
@@ -59,3 +60,27 @@ def update_job_table(spark: SparkSession, path: str, changes: DataFrame, date_co
     jobs, changes = spark.read.parquet(path), stored(changes)
     touched = jobs.select("job_id", date_column).join(changes.select("job_id"), "job_id", "left_semi")
     rewrite_dates(jobs, path, touched, lambda old: apply_changes(old, changes), ["job_id"], date_column)
+
+
+def drop_dates(spark: SparkSession, path: str, dates: list[datetime.date], date_column: str = "created_date") -> None:
+    """Removes whole date partitions; those that aren't there are passed over."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for day in dates:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{date_column}={day}")
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def expire_rows(spark: SparkSession, path: str, today: datetime.date, keep_days: Column, keys: list[str], date_column: str = "created_date", least: int = 30, most: int = 90) -> None:
+    """Removes rows older than keep_days, which is held between least and most (null: most).
+
+    Dates older than most go as folders and dates up to least days old stay, both without a look at their rows; of the dates between, those
+    with some expired rows are written anew and those with nothing else go. Rows without a date stay. A rerun changes nothing more.
+    """
+    day = lambda n: F.lit(today - datetime.timedelta(days=n))
+    table, at = spark.read.parquet(path), F.col(date_column)
+    expired = F.date_diff(F.lit(today), at) > F.least(F.lit(most), F.greatest(F.lit(least), F.coalesce(keep_days, F.lit(most))))
+    old = [r[0] for r in table.filter(at < day(most)).select(date_column).distinct().collect()]
+    aged = table.filter((at >= day(most)) & (at < day(least))).groupBy(date_column).agg(F.count_if(expired).alias("gone"), F.count("*").alias("rows"))
+    found = stored(aged.filter("gone > 0"))
+    rewrite_dates(table, path, found.filter("gone < rows"), lambda rows: rows.filter(~expired), keys, date_column)
+    drop_dates(spark, path, [*old, *(r[0] for r in found.filter("gone = rows").select(date_column).collect())], date_column)
