@@ -29,6 +29,8 @@ SLICE = 1 << 20
 EFFECTIVE_TRIGRAMS = 40.0
 SMOOTHING = 0.5
 HOST_STRENGTH = 8.0
+#: Rows without a value at a level are joined in so many shares.
+NULL_SHARES = 4096
 
 
 def _trigrams(text: str) -> np.ndarray:
@@ -123,7 +125,8 @@ def identify(records: DataFrame, labelled: DataFrame, keys: list[str]) -> DataFr
     all_counts = [0.0] * n
     for r in voted.groupBy("vote").count().collect():
         all_counts[r["vote"]] = float(r["count"])
-    everything = spark.createDataFrame([(languages, all_counts, sum(all_counts))], "names array<string>, all_counts array<double>, all_seen double")
+    kinds = voted.agg(*[F.count_distinct(c).cast("double") for c in ("declared", "suffix")]).first()
+    everything = spark.createDataFrame([(languages, all_counts, sum(all_counts), *kinds)], "names array<string>, all_counts array<double>, all_seen double, declared_kinds double, suffix_kinds double")
 
     def by(level: str) -> DataFrame:
         """Votes by language of each value: rows first, then one array a value."""
@@ -132,8 +135,10 @@ def identify(records: DataFrame, labelled: DataFrame, keys: list[str]) -> DataFr
         return found.select(level, f"{level}_seen", F.transform(numbers, lambda i: F.coalesce(F.try_element_at("found", i), F.lit(0.0))).alias(f"{level}_counts"))
 
     df = judged.crossJoin(F.broadcast(everything))  # one row
+    # Rows without a value meet nothing; their own number beside the key spreads them over all partitions.
+    spread = lambda level: F.when(F.col(level).isNull(), F.pmod(F.xxhash64(*keys), F.lit(NULL_SHARES))).otherwise(F.lit(0).cast("long"))
     for level in about:
-        df = df.join(by(level), level, "left")
+        df = df.withColumn("share", spread(level)).join(by(level).withColumn("share", F.lit(0).cast("long")), [level, "share"], "left").drop("share")
     # A record's own vote is in the counts of each level of which it has a value; the sums are numbers beside the arrays.
     voter = F.when(F.col("vote") >= 0, 1.0).otherwise(0.0)
     rest = lambda level: F.transform(F.coalesce(f"{level}_counts", zeros), lambda x, i: F.greatest(x - F.when(i == F.col("vote"), 1.0).otherwise(0.0), F.lit(0.0)))
@@ -144,7 +149,7 @@ def identify(records: DataFrame, labelled: DataFrame, keys: list[str]) -> DataFr
     for level, above in (("domain", "all"), ("host", "domain")):
         df = df.withColumn(f"{level}_prior", F.zip_with(f"{level}_rest", f"{above}_prior", lambda x, p: (x + HOST_STRENGTH * p) / (F.col(f"{level}_left") + HOST_STRENGTH)))  # noqa: B023
     # P(value | language) is P(language | value) P(value) / P(language); P(value) is the same for all languages.
-    said = lambda level: F.when(F.col(level).isNull(), zeros).otherwise(F.zip_with(f"{level}_rest", "all_rest", lambda x, a: F.log((x + SMOOTHING) / (a + 2 * SMOOTHING))))
+    said = lambda level: F.when(F.col(level).isNull(), zeros).otherwise(F.zip_with(f"{level}_rest", "all_rest", lambda x, a: F.log((x + SMOOTHING) / (a + SMOOTHING * F.greatest(F.col(f"{level}_kinds"), F.lit(1.0))))))
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     fused = plus(plus(F.zip_with("ll", "host_prior", lambda x, p: x + F.log(p)), said("declared")), said("suffix"))
     df = df.withColumn("fused", fused).withColumn("top", F.array_max("fused"))

@@ -2,8 +2,9 @@
 
 Every rolling three-word gram of every text is joined to the positions of that gram in the license templates. A hit votes
 for the diagonal (text position minus template position) on which it lies; votes are gathered per text, template and
-diagonal as a bit set of template positions. For long templates, diagonals at most MERGE_GAP apart are merged, which
-lets a copy lose or gain a few words. A merged span is verified: its grams equal the template's grams word by word (the join
+diagonal as a bit set of template positions, in as many 64-bit words as the longest template needs. For long templates,
+diagonals at most MERGE_GAP apart, or one for each MERGE_WORDS of the template's words, are merged, which lets a copy lose or
+gain a few words. A merged span is verified: its grams equal the template's grams word by word (the join
 compares the words, not only their hash), enough of them are present, and the span isn't stretched. A base phrase must be
 complete on one diagonal.
 
@@ -13,14 +14,17 @@ repeat with equal id and text each get a row of their own; extra columns are ign
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import table, text_or_empty
 
 GRAM = 3
-#: Diagonals of a long template that lie this close are one copy of it.
+#: Diagonals of a long template that lie this close are one copy of it; or as close as one for so many words of it.
 MERGE_GAP = 3
+MERGE_WORDS = 20
 #: Share of a long template's grams that a copy has at least, and words it spans at most for each word of the template.
 MIN_SHARE = 0.6
 MAX_STRETCH = 1.5
@@ -42,14 +46,41 @@ TEMPLATES = [
     ("cc-by-nc-4", "licensed under cc by nc 4 0"),
     ("bsd-terms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    (
+        "mit-text",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software
+        without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons
+        to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+        substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+        WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "bsd-2-text",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code
+        must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+        of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+        CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+        LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+        CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
 ]
 
 
+def template_words(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(dict(zip(range(65, 91), range(97, 123), strict=True))))
+
+
+#: How many 64-bit words hold the votes of the longest template.
+VOTE_WORDS = -(-max(len(template_words(t)) - GRAM + 1 for _, t in PHRASES + TEMPLATES) // 64)
+
+
 def template_positions(spark: SparkSession) -> DataFrame:
-    """gram, template, label, exact, t_pos, n_grams, n_words: a fixed table of a few hundred rows."""
+    """gram, template, label, exact, t_pos, n_grams, n_words: a fixed table with a row for each gram of a template."""
     entries = [(-1, "", False, -1, MARK, 1, 0)]
     for number, (label, phrase) in enumerate(PHRASES + TEMPLATES):
-        words = phrase.split()
+        words = template_words(phrase)
         grams = [" ".join(words[i : i + GRAM]) for i in range(len(words) - GRAM + 1)]
         entries += [(number, label, number < len(PHRASES), i, g, len(grams), len(words)) for i, g in enumerate(grams)]
     rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("template", "label", "exact", "t_pos", "t_gram", "n_grams", "n_template_words"), e, strict=True)]) for e in entries])
@@ -75,21 +106,23 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     templates = template_positions(docs.sparkSession)
     hits = placed.join(F.broadcast(templates), (F.col("gram_hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")))
     about = ["doc_id", "text_key", "n_words", "template", "label", "exact", "n_grams", "n_template_words"]
+    votes = [f"votes_{i}" for i in range(VOTE_WORDS)]
+    bit = lambda i: F.when(F.col("t_pos").between(64 * i, 64 * i + 63), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t_pos") - 64 * i)).otherwise(F.lit(0).cast("long"))
     diagonals = (
         hits.withColumn("at", F.col("at").cast("long") - 1)
         .withColumn("diagonal", F.col("at") - F.col("t_pos"))
         .groupBy(*about, "diagonal")
-        .agg(F.expr("bit_or(shiftleft(1L, greatest(t_pos, 0)))").alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"))
+        .agg(*[F.bit_or(bit(i)).alias(v) for i, v in enumerate(votes)], F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"))
     )
     along = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(along)
-    starts = F.when(gap.isNull() | F.col("exact") | (gap > MERGE_GAP) | (F.col("lo") - F.lag("hi").over(along) > F.col("n_template_words")), 1).otherwise(0)
+    starts = F.when(gap.isNull() | F.col("exact") | (gap > F.greatest(F.lit(MERGE_GAP), F.floor(F.col("n_template_words") / MERGE_WORDS))) | (F.col("lo") - F.lag("hi").over(along) > F.col("n_template_words")), 1).otherwise(0)
     merged = (
         diagonals.withColumn("starts", starts)
         .withColumn("copy", F.sum("starts").over(along))
         .groupBy(*about, "copy")
-        .agg(F.expr("bit_or(votes)").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("diagonal"), F.max("n").alias("n"))
-        .withColumn("share", F.bit_count("votes") / F.col("n_grams"))
+        .agg(*[F.bit_or(v).alias(v) for v in votes], F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("diagonal"), F.max("n").alias("n"))
+        .withColumn("share", sum(F.bit_count(v) for v in votes) / F.col("n_grams"))
         .withColumn("span_words", F.col("hi") - F.col("lo") + GRAM)
     )
     mark = F.col("template") < 0
@@ -118,7 +151,7 @@ def _oracle() -> str:
     """The same result stated over DuckDB lists: all words, gram hits, diagonals, merged copies."""
     entries = []
     for number, (label, phrase) in enumerate(PHRASES + TEMPLATES):
-        words = phrase.split()
+        words = template_words(phrase)
         n = len(words) - GRAM + 1
         entries += [f"({number}, '{label}', {str(number < len(PHRASES)).lower()}, {i}, '{' '.join(words[i : i + GRAM])}', {n}, {len(words)})" for i in range(n)]
     return f"""
@@ -127,7 +160,7 @@ texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDE
 grams AS (SELECT doc_id, unnest(range(0, len(w) - 2)) AS pos, unnest(list_transform(range(0, len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) AS gram FROM texts),
 hits AS (SELECT doc_id, template, label, exact, n_grams, n_tw, pos, t_pos, pos - t_pos AS diagonal FROM grams JOIN templates USING (gram)),
 diagonals AS (SELECT doc_id, template, label, exact, n_grams, n_tw, diagonal, list(DISTINCT t_pos) AS votes, min(pos) AS lo, max(pos) AS hi FROM hits GROUP BY ALL),
-marked AS (SELECT *, CASE WHEN lag(diagonal) OVER w IS NULL OR exact OR diagonal - lag(diagonal) OVER w > {MERGE_GAP} OR lo - lag(hi) OVER w > n_tw THEN 1 ELSE 0 END AS starts FROM diagonals WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+marked AS (SELECT *, CASE WHEN lag(diagonal) OVER w IS NULL OR exact OR diagonal - lag(diagonal) OVER w > greatest({MERGE_GAP}, n_tw // {MERGE_WORDS}) OR lo - lag(hi) OVER w > n_tw THEN 1 ELSE 0 END AS starts FROM diagonals WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 copies AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS copy FROM marked),
 merged AS (SELECT doc_id, template, label, exact, n_grams, n_tw, copy, len(list_distinct(flatten(list(votes)))) / n_grams AS share, max(hi) - min(lo) + {GRAM} AS span, min(diagonal) AS diagonal FROM copies GROUP BY doc_id, template, label, exact, n_grams, n_tw, copy),
 good AS (SELECT *, exact AS base FROM merged WHERE CASE WHEN exact THEN share >= 1 ELSE share >= {MIN_SHARE} AND span <= n_tw * {MAX_STRETCH} END),

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -141,6 +142,43 @@ def test_changed_license_copy_is_found(spark):
     assert out["labels"] == "mit-grant" and out["n_base"] == 0 and 0.6 <= out["score"] <= 1
 
 
+def test_whole_license_texts(spark):
+    """Templates of any length: whole texts score 1, a copy with lines left out and words put in is found, half a text isn't."""
+    mit, bsd = (dict(license_scan.TEMPLATES)[k] for k in ("mit-text", "bsd-2-text"))
+    assert license_scan.VOTE_WORDS > 2
+    lines = bsd.split(". ")
+    changed = ". ".join([lines[0] + " by every reader of these pages and", *lines[1:3], *lines[4:]])
+    short = " ".join(mit.split()[:60])
+    texts = {1: "x " + mit + " y", 2: bsd.replace("ANY EXPRESS", "ANY AND EVERY EXPRESS"), 3: changed, 4: short, 5: mit + "\n" + bsd + "\n" + mit}
+    out = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    found = lambda i: {s["label"]: (s["word"], s["share"]) for s in out[i]["spans"]}
+    assert found(1)["mit-text"] == (1, 1.0) and "bsd-2-text" not in found(1)
+    assert 0.97 < found(2)["bsd-2-text"][1] < 1 and found(2)["bsd-terms"][1] == 1
+    assert 0.6 <= found(3)["bsd-2-text"][1] < 1
+    assert set(found(4)) == {"mit-grant"}
+    assert [s["label"] for s in out[5]["spans"] if s["label"] in ("mit-text", "bsd-2-text")] == ["mit-text", "bsd-2-text", "mit-text"]
+    words = [license_scan.template_words(t) for t in (mit, bsd)]
+    assert [s["word"] for s in out[5]["spans"] if s["label"].endswith("-text")] == [0, len(words[0]), len(words[0]) + len(words[1])]
+
+
+def test_license_sql_on_long_templates(spark, tmp_path):
+    """The stated SQL and the scan agree on copies of the long templates with words changed, left out and put in."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(60):
+        words = license_scan.template_words(license_scan.TEMPLATES[-1 - i % 2][1])
+        for _ in range(int(rng.integers(0, 40))):
+            at = int(rng.integers(0, len(words)))
+            words[at : at + int(rng.integers(0, 6))] = ["w"] * int(rng.integers(0, 9))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = license_scan.scan_licenses(docs).drop("spans").toPandas().sort_values("doc_id")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.sql(license_scan.OP5_SQL).df().sort_values("doc_id")[list(out.columns)]
+    assert (out["labels"] != "").sum() > 20 and (out["labels"] == "").sum() > 0
+    pd.testing.assert_frame_equal(out.reset_index(drop=True), want.reset_index(drop=True), check_dtype=False)
+
+
 def counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen = collections.Counter(zip(words, words[1:], words[2:], strict=False))
@@ -430,6 +468,53 @@ def test_languages_fuse_evidence(spark, docs):
     assert language_id.identify(language_id.document_records(docs), docs.limit(0).select("text", "lang"), ["doc_id"]).filter("language is not null").count() == 0
 
 
+def test_fused_posterior_against_brute_force(spark):
+    """Every record's posterior from nothing but Python dictionaries: text, declaration, suffix and host prior, the own vote left out."""
+    rng, names = random.Random(3), ["de", "en", "fr"]
+    words = {v: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(8)] for v in names}
+    text = lambda v: " ".join(rng.choice(words[v]) for _ in range(rng.randint(2, 12)))
+    labelled = [(text(v), v) for v in names for _ in range(10)]
+    rows = []
+    for i in range(150):
+        v = rng.choice(names)
+        domain = rng.choice(["a.de", "b.fr", "c.com", None])
+        host = domain and rng.choice(["www.", "x."]) + domain
+        rows.append((i, rng.choice([text(v), text(v), text(v), None, ""]), rng.choice([v, v, "zz", None]), domain and domain[2:], domain, host))
+    rows += [(i + 150, *rows[i][1:]) for i in range(20)]
+    schema = "id long, text string, declared string, suffix string, domain string, host string"
+    out = {r["id"]: r for r in language_id.identify(spark.createDataFrame(rows, schema), spark.createDataFrame(labelled, "text string, lang string"), ["id"]).collect()}
+
+    def buckets(t):
+        b = t.lower().encode()
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 % 2**32) >> 18 for i in range(len(b) - 2)]
+
+    seen = {v: collections.Counter(g for t, own in labelled if own == v for g in buckets(t)) for v in names}
+    prob = lambda v, g: math.log((seen[v][g] + 0.5) / (sum(seen[v].values()) + 0.5 * 2**14))
+    likelihood, vote = {}, {}
+    for i, t, *_ in rows:
+        grams = buckets(t or "")
+        scale = min(1, 40 / len(grams)) if grams else 0
+        likelihood[i] = {v: scale * sum(prob(v, g) for g in grams) for v in names}
+        vote[i] = max(names, key=likelihood[i].get) if grams else None
+    for i, _, declared, suffix, domain, host in rows:
+        others = [(vote[r[0]], *r[2:]) for r in rows if r[0] != i and vote[r[0]]]
+        count = lambda v, at, value: sum(o[0] == v and (at == 0 or o[at] == value) for o in others)  # noqa: B023, E731
+        post = {}
+        for v in names:
+            prior = (count(v, 0, None) + 0.5) / (len(others) + 0.5 * len(names))
+            for at, value in ((3, domain), (4, host)):
+                own = [count(u, at, value) if value else 0 for u in names]
+                prior = (own[names.index(v)] + 8 * prior) / (sum(own) + 8)
+            post[v] = likelihood[i][v] + math.log(prior)
+            for at, value in ((1, declared), (2, suffix)):
+                if value:
+                    values = len({r[at + 1] for r in rows if r[at + 1] and vote[r[0]]})
+                    post[v] += math.log((count(v, at, value) + 0.5) / (count(v, 0, None) + 0.5 * values))
+        top = max(names, key=post.get)
+        assert (out[i]["language"], out[i]["text_language"]) == (top, vote[i])
+        assert math.isclose(out[i]["posterior"], 1 / sum(math.exp(x - post[top]) for x in post.values()), rel_tol=1e-9)
+
+
 def test_languages_beyond_the_most_frequent_are_kept(spark):
     """90 languages with words of their own; the rarest are declared by one text each."""
     rng = random.Random(6)
