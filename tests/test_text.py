@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import measures as M
 from ledgerlens.functions import text as T
+from ledgerlens.operators import extract as X
 
 
 def column(spark, values, f, kind="string"):
@@ -64,3 +65,19 @@ def test_names_and_keys(spark):
     assert column(spark, ["http://h/x/y.pdf?a=1", "http://h/"], T.name_from_url)[0] == "y.pdf"
     a, b = column(spark, ["x", None], lambda c: T.idempotency_key(c, F.lit(1)))
     assert a != b and len(b) == 64
+
+
+def test_known_phrases_equal_a_plain_loop(spark):
+    """One search finds at every word all phrases that stand there, also those with which longer ones begin."""
+    lines = ["grand total payable", "invoice no inv no invoice serial number", "totals", "xinvoice no", "sub total invoice date", "", "nomor nota invoice amount"]
+    found = spark.createDataFrame([(x,) for x in lines], "n string").select("n", T.known_phrases(F.col("n"))["phrase"].alias("p")).collect()
+    for row in found:
+        assert sorted(row.p) == sorted(p for p in T._KNOWN if f" {p} " in f" {row.n} "), row.n
+
+
+def test_pages_are_spread_over_all_cores(spark):
+    """Pages in one small partition feed every core with lines."""
+    pages = spark.createDataFrame([(i, 1, "Invoice No: A1") for i in range(200)], "doc_id long, page_number int, raw_text string").coalesce(1)
+    lines = X.page_lines(pages)
+    assert lines.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert lines.count() == 200
