@@ -1,7 +1,7 @@
 """Scores of texts under a probabilistic suffix tree over words.
 
-A node of the tree is a context of 1 to DEPTH words. A context is a candidate if it makes up a least share of the training tokens (and
-occurs MIN_CONTEXT times), so the number of nodes is bounded by that share and not by the corpus; it
+A node of the tree is a context of 1 to DEPTH words. A context is a candidate if it makes up a least share of the training tokens,
+at any size, so the number of nodes is bounded by that share and not by the corpus; it
 stays if the words after it diverge from what its longest kept suffix foretells: the mean log ratio of the two smoothed
 distributions over its occurrences, each left out of its own count, must reach DIVERGENCE. A next-word distribution is smoothed by
 STRENGTH imagined occurrences, dealt as the longest kept suffix says; the empty context has the add-one distribution of all words. A
@@ -22,7 +22,6 @@ part. A text longer than a block's bytes is a block of its own.
 from __future__ import annotations
 
 import math
-import re
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -36,13 +35,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import shared_dir, stored, table, text_or_empty
-from ledgerlens.llm.importance import lowered
 
-TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 #: The end token: no word is empty.
-END = ""
+END = b""
 DEPTH = 2
-MIN_CONTEXT = 20
 #: The least share of a context in the training tokens.
 MIN_SHARE = 2e-6
 STRENGTH = 150.0
@@ -83,8 +79,16 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _word_bucket(words: list[str], buckets: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+def _word_bucket(words: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+
+
+class Numbers(dict):
+    """Words with their numbers; a new word takes the next one."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 def _split(order_by: np.ndarray):
@@ -113,9 +117,9 @@ def block_rows(buckets: int, block_bytes: int):
         trains = np.repeat(~np.array(held, bool), lengths)
         counts = np.bincount(tokens[trains], minlength=len(words))
         lost = np.array([d is None for d in docs], bool)
-        rows = [(block, None, _pack(np.array([d or 0 for d in docs], np.int64), lost, np.array(held, bool), np.array(lengths, np.int64)), _pack(tokens), zlib.compress("\n".join(words).encode(), 1), None)]
+        rows = [(block, None, _pack(np.array([d or 0 for d in docs], np.int64), lost, np.array(held, bool), np.array(lengths, np.int64)), _pack(tokens), zlib.compress(b"\n".join(words), 1), None)]
         for bucket, own in _split(_word_bucket(words, buckets)):
-            rows.append((block, bucket, None, None, zlib.compress("\n".join([words[i] for i in own]).encode(), 1), _pack(counts[own])))
+            rows.append((block, bucket, None, None, zlib.compress(b"\n".join([words[i] for i in own]), 1), _pack(counts[own])))
         kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
         names = [c.split()[0] for c in BLOCKS.split(", ")]
         # One row a batch: a block is some megabytes.
@@ -124,21 +128,21 @@ def block_rows(buckets: int, block_bytes: int):
 
     def run(batches):
         block, size = TaskContext.get().partitionId() << 32, 0
-        docs, held, lengths, ids, number_of = [], [], [], [], {END: 0}
+        docs, held, lengths, ids, number_of = [], [], [], [], Numbers({END: 0})
         for batch in batches:
             for doc, out, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = TOKEN.findall(text)
-                for w in words:
-                    ids.append(number_of.setdefault(w, len(number_of)))
+                # Of bytes, lower and split know ASCII letters and the blanks 0x20 and 0x09 to 0x0D only.
+                words = text.lower().split()
+                ids.extend(map(number_of.__getitem__, words))
                 ids.append(0)
                 docs.append(doc)
                 held.append(out)
                 lengths.append(len(words) + 1)
-                size += len(text.encode())
+                size += len(text)
                 if size >= block_bytes:
                     yield from made(block, docs, held, lengths, ids, number_of)
                     block, size = block + 1, 0
-                    docs, held, lengths, ids, number_of = [], [], [], [], {END: 0}
+                    docs, held, lengths, ids, number_of = [], [], [], [], Numbers({END: 0})
         if docs:
             yield from made(block, docs, held, lengths, ids, number_of)
 
@@ -147,9 +151,9 @@ def block_rows(buckets: int, block_bytes: int):
 
 def count_words(notes: pa.Table) -> pa.Table:
     """Adds up the counts of one bucket's words. Row without a block: the bucket's tokens, and in level its number of words."""
-    lists = [zlib.decompress(w).decode().split("\n") for w in notes["words"].to_pylist()]
+    lists = [zlib.decompress(w).split(b"\n") for w in notes["words"].to_pylist()]
     counts = [_unpack(d, "<i8")[0].tolist() for d in notes["data"].to_pylist()]
-    total: dict[str, int] = {}
+    total: dict[bytes, int] = {}
     for words, own in zip(lists, counts, strict=True):
         for w, n in zip(words, own, strict=True):
             total[w] = total.get(w, 0) + n
@@ -162,7 +166,7 @@ class Tree:
     """What all tasks know of the model: its parameters and the two totals of the training tokens."""
 
     depth: int = DEPTH
-    least: int = MIN_CONTEXT
+    least: int = 1
     strength: float = STRENGTH
     divergence: float = DIVERGENCE
     shard: int = SHARD
@@ -193,7 +197,7 @@ class Block:
         self.tree, self.number = tree, row["block"]
         self.doc_ids, self.lost, self.held, self.lengths = _unpack(row["doc_ids"], "<i8", "?", "?", "<i8")
         self.ids = _unpack(row["ids"], "<i4")[0].astype(np.int64)
-        words = zlib.decompress(row["words"]).decode().split("\n")
+        words = zlib.decompress(row["words"]).split(b"\n")
         self.trains = np.repeat(~self.held, self.lengths)
         self.count, self.hash = np.zeros(len(words), np.int64), np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
         told: dict[tuple[int, int], bytes] = {}
@@ -310,16 +314,17 @@ def _bucketed(rows: DataFrame, parts: int) -> DataFrame:
     return spark.table(name)
 
 
-def suffix_tree_scores(docs: DataFrame, depth: int = DEPTH, least: int = MIN_CONTEXT, least_share: float = MIN_SHARE, strength: float = STRENGTH, divergence: float = DIVERGENCE, parts: tuple[int, int] = HELD_OUT, shard: int = SHARD, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row of docs."""
+def suffix_tree_scores(docs: DataFrame, depth: int = DEPTH, least: int | None = None, least_share: float = MIN_SHARE, strength: float = STRENGTH, divergence: float = DIVERGENCE, parts: tuple[int, int] = HELD_OUT, shard: int = SHARD, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row of docs. Candidate contexts
+    occur `least` times, if given, else they make up least_share of the training tokens."""
     text = text_or_empty(text_col)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, -(-size // block_bytes))
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), parts).alias("out"), lowered(text).alias("text"))
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), parts).alias("out"), text.cast("binary").alias("text"))
     made = _bucketed(chosen.mapInArrow(block_rows(buckets, block_bytes), BLOCKS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counted = stored(made.filter("bucket is not null").select("block", "bucket", "words", "data").groupBy("bucket").applyInArrow(count_words, NOTES))
     tokens, types = counted.filter("block is null").agg(F.sum("ctx"), F.sum("level")).first()
-    least = max(least, math.ceil(least_share * (tokens or 0)))
+    least = max(1, math.ceil(least_share * (tokens or 0)) if least is None else least)
     tree = Tree(depth, least, strength, divergence, shard, buckets, tokens or 0, types or 0)
     blocks = made.filter("bucket is null").select("block", "doc_ids", "ids", "words")
     answers = counted.filter("block is not null").select("block", "level", "bucket", "ctx", "data")

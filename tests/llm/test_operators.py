@@ -658,3 +658,11 @@ def test_suffix_tree_scores(spark, docs, none, depth, block, shard):
     assert np.allclose([r[5:] for r in out], [r[5:] for r in want], rtol=1e-9)
     # Texts that the tree hasn't seen are likelier under it than under the counts of single words.
     assert sum(r[6] for r in out if r[1]) > sum(r[5] for r in out if r[1])
+
+
+def test_least_share_alone_chooses_contexts(docs):
+    """The share of the training tokens decides at any size: no count is asked for beside it."""
+    tree = lambda **kw: sorted(tuple(-1 if x is None else x for x in r) for r in suffix_tree_lm.suffix_tree_scores(docs, strength=4.0, divergence=0.05, **kw).collect())
+    by_count = tree(least=6)
+    assert tree(least_share=5.5 / by_count[0][4]) == by_count
+    assert tree(least=20) != by_count
