@@ -242,6 +242,18 @@ def test_encoders_on_odd_texts():
         assert coder.decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_plain_words_go_to_the_model_alone(monkeypatch):
+    counter, rng = packing.TokenCounter(bpe.default_vocabulary()), random.Random(3)
+    letters = [c for c in map(chr, range(0x500)) if packing.PLAIN_WORD.fullmatch(c)]
+    texts = ["".join(rng.choice([*rng.sample(letters, 12), *" .,\n"]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += ["one\ntwo", "\none two.\n", "a\n\nb", "a b\n c", "x\ty\nz", "\n", "\n\n", " a", "a ", "l'été.\n'll\n12\nß!"]
+    assert all(counter.ids(t) == counter.whole(t) for t in texts)
+    asked = []
+    monkeypatch.setattr(counter, "whole", lambda text: asked.append(text) or b"")
+    counter.ids("unheardofword Straßenbahnhöfe, Καλημέρα.\nпривет, secondline!")
+    assert asked == []
+
+
 def test_bounded_cache_forgets_and_recalls():
     made = []
     cache = bpe.TwoGenerations(lambda k: made.append(k) or k * 2, 3)
