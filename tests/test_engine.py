@@ -190,3 +190,14 @@ def test_query_equals_its_oracle(spark, sf_dir, name):
     assert columns == sorted(got.columns)
     key = lambda df: sorted(str([None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) else str(v) for v in row]) for row in df[columns].astype(object).itertuples(index=False))
     assert key(got) == key(want)
+
+
+def test_candidate_ids_extracts_numbers_alone(spark, monkeypatch):
+    from ledgerlens.plans import fields
+
+    sf = "/root/testdata/sf0.001"
+    pool = R.candidate_ids(fields._clean(spark, sf)).filter("field_name = 'document_number'").select("doc_id", "candidate_id", "value")
+    monkeypatch.setattr(fields, "cut", lambda df: pytest.fail("candidates of every field were stored"))
+    found = fields.candidate_ids(spark, sf)
+    assert sorted(found.collect()) == sorted(pool.collect())
+    assert "financial_row" not in found._jdf.queryExecution().optimizedPlan().toString()
