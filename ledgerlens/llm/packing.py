@@ -17,6 +17,8 @@ import heapq
 import json
 import re
 import zlib
+from array import array
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -35,10 +37,15 @@ BLOCK_PIECES = 10_000
 NEARLY_FULL = 0.95
 #: A word that is one pre-token, of Latin, Greek or Cyrillic letters of every Unicode version, and one sign behind it that is another.
 PLAIN_WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u021f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ce]+)([.,;:!?)]?)")
+#: Fixed value: ASCII signs of which every run is one pre-token; an apostrophe may begin another kind.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: What a tokenizer file must say for words to go to its model without the pre-tokenizer.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
+_token_id = attrgetter("id")
+
+
 def has_odd_white(text: str) -> bool:
     """White space beside white space, or such other than spaces and line ends."""
     if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text:
@@ -62,14 +69,27 @@ class TokenCounter:
             spec = json.load(f)
         plain = spec["normalizer"] is None and {k: (spec["pre_tokenizer"] or {}).get(k, True) for k in BYTE_LEVEL} == BYTE_LEVEL
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.signs = {c: self.whole(c) for c in ".,;:!?)"} | {"": b""}
+        self.signs = TwoGenerations(self.whole, 10_000)
         self.plain = plain
         self.line_end = self.whole("\n")
-        self.after_space = TwoGenerations(lambda word: self.word(" " + word))
+        self.space = self.letters[32]
+        self.after_space = TwoGenerations(self.spaced)
         self.at_start = TwoGenerations(self.word, 50_000)
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def modelled(self, spelled: str) -> bytes:
+        """Ids of one pre-token in the model's letters."""
+        return array("I", map(_token_id, self.model.tokenize(spelled))).tobytes()
+
+    def spaced(self, word: str) -> bytes:
+        """whole(" " + word). Most words are ASCII letters and a run of signs or none behind them, two pre-tokens at most."""
+        letters = word.rstrip(SIGNS)
+        if not (self.plain and letters.isalpha() and word.isascii()):
+            return self.word(" " + word)
+        ids = self.modelled(self.space + letters)
+        return ids if len(letters) == len(word) else ids + self.signs[word[len(letters) :]]
 
     def word(self, word: str) -> bytes:
         """whole(word), by the model where the word is plain."""
@@ -77,7 +97,7 @@ class TokenCounter:
         if not parts:
             return self.whole(word)
         spelled = parts[1].replace(" ", self.letters[32]) if word.isascii() else parts[1].encode().decode("latin-1").translate(self.letters)
-        return np.asarray([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes() + self.signs[parts[2]]
+        return self.modelled(spelled) + (self.signs[parts[2]] if parts[2] else b"")
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of the text."""
@@ -93,7 +113,7 @@ class TokenCounter:
         return self._ids(first, () if rest is None else rest.split(" "))
 
     def _ids(self, first: str, rest) -> bytes:
-        return (self.at_start[first] if first else b"") + b"".join([self.after_space[word] for word in rest])
+        return (self.at_start[first] if first else b"") + b"".join(map(self.after_space.__getitem__, rest))
 
 
 _counters: dict[str, TokenCounter] = {}
@@ -174,8 +194,8 @@ class Stock:
         ways = self.sizes & (self.mirrored >> (self.capacity - total)) if total <= self.capacity else 0
         while ways and 2 * (longer := ways.bit_length() - 1) >= total:
             ways ^= 1 << longer
-            one = self.item(longer)
-            other = self.item(total - longer, one)
+            one = next(iter(self.held[longer]))
+            other = next(iter(self.held[total - longer])) if 2 * longer != total else self.item(longer, one)
             if other is not None:
                 yield one, other
 
@@ -215,8 +235,9 @@ def _sweep(bins: list[list[int]], fill: list[int], size: list[int], capacity: in
 
     def two_for_one(target: int, room: int, least: int):
         """The first exchange of the largest gain above least whose displaced item fits and that raises the squared fill."""
+        own = {size[i]: i for i in bins[target]}.items()
         for gain in range(room, least, -1):
-            for s, out in {size[i]: i for i in bins[target]}.items():
+            for s, out in own:
                 for one, other in stock.pairs(s + gain):
                     a, b = where[one], where[other]
                     filled = fill[a] - size[one] + s - (size[other] if a == b else 0)

@@ -254,6 +254,16 @@ def test_plain_words_go_to_the_model_alone(monkeypatch):
     assert asked == []
 
 
+def test_words_with_runs_of_signs_go_to_the_model():
+    counter = packing.TokenCounter(bpe.default_vocabulary())
+    texts = ["it costs$$$ THLYOR!! lyannt.%%% a_b--- don't!' 's '' re''ll x'' -- -a \\\\ end.", "a$ b$$ c$$$ d.$ e'$ f$' g"]
+    assert all(counter.ids(t) == counter.whole(t) for t in texts)
+    asked, encode = [], counter.tokenizer.encode
+    counter.tokenizer = type("Asked", (), {"encode": lambda self, text, **k: asked.append(text) or encode(text, **k)})()
+    counter.ids(" ".join(["a", *[f"unheard{c}word###" for c in "abcdefgh"], "thlyor!!", "lyannt.%%%"]))
+    assert all(not any(c.isalpha() for c in text) for text in asked[1:]) and len(asked) <= 4
+
+
 def test_bounded_cache_forgets_and_recalls():
     made = []
     cache = bpe.TwoGenerations(lambda k: made.append(k) or k * 2, 3)
