@@ -37,6 +37,8 @@ REACH = MATCH - GRAM
 #: Bytes of text in one chunk and, about, in one bucket; bound the memory of a task.
 CHUNK_BYTES = 3 << 20
 BUCKET_BYTES = 6 << 20
+#: Bytes of text, and the rest of the last one, whose anchors are sought at once: some twenty numbers a byte are held meanwhile.
+SLICE_BYTES = 1 << 19
 LAST_ID = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(20240229)
@@ -88,36 +90,42 @@ class Chunk:
         self._anchors()
 
     def _anchors(self) -> None:
-        n = len(self.bytes)
+        part = self.starts // SLICE_BYTES
+        bounds = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+        parts = [self._anchors_of(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
+        parts.append((*[np.zeros(0, np.int64)] * 4, *[np.zeros(0, np.uint64)] * 2))
+        self.at, self.doc, self.left, self.right, self.anchor, self.segment = map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((self.at, self.segment, self.anchor))
+        a, s = self.anchor[order], self.segment[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
+        #: For each anchor the chunk's first one with an equal segment.
+        self.first = np.empty(len(order), np.int64)
+        self.first[order] = order[new][np.cumsum(new) - 1] if len(order) else order
+
+    def _anchors_of(self, a: int, b: int) -> tuple[np.ndarray, ...]:
+        """Place, text, left, right, hash and segment's hash of the anchors of texts a to b - 1, with which the working memory ends."""
+        low, n = int(self.starts[a]), int(self.ends[b - 1] - self.starts[a])
         if n < MATCH:
-            self.at = np.zeros(0, np.int64)
-            self.doc = self.left = self.right = self.first = self.at
-            self.anchor = self.segment = np.zeros(0, np.uint64)
-            return
+            return (*[np.zeros(0, np.int64)] * 4, *[np.zeros(0, np.uint64)] * 2)
+        starts, ends = self.starts[a:b] - low, self.ends[a:b] - low
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LETTER[self.bytes] * _power(_BASE, n), out=sums[1:])
+        np.cumsum(_LETTER[self.bytes[low : low + n]] * _power(_BASE, n), out=sums[1:])
         inverse = _power(_INVERSE, n)
         hashes = np.maximum(_mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1]), np.uint64(1))
         least = _sliding(np.minimum, hashes, REACH + 1)
         for back in range(1, MATCH):  # windows that cross the end of a text are none
-            over = self.ends - back
+            over = ends - back
             least[over[(over >= 0) & (over < len(least))]] = 0
         pad = np.zeros(REACH, np.uint64)
-        self.at = np.flatnonzero(hashes == _sliding(np.maximum, np.concatenate([pad, least, pad]), REACH + 1))
+        at = np.flatnonzero(hashes == _sliding(np.maximum, np.concatenate([pad, least, pad]), REACH + 1))
         # An empty text has no bytes: its start equals the next one's, and the last such start is the text that holds them.
-        self.doc = np.searchsorted(self.starts, self.at, "right") - 1
-        self.left = np.maximum(self.starts[self.doc], self.at - REACH)
-        self.right = np.minimum(self.ends[self.doc], self.at + MATCH)
-        self.anchor = hashes[self.at]
-        shape = ((self.at - self.left) * 1000003 + (self.right - self.at)).astype(np.uint64)
-        self.segment = _mix((sums[self.right] - sums[self.left]) * inverse[self.left] + _mix(shape + np.uint64(1)))
-        order = np.lexsort((self.at, self.segment, self.anchor))
-        a, s = self.anchor[order], self.segment[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
-        #: For each anchor the chunk's first one with an equal segment.
-        self.first = np.empty(len(order), np.int64)
-        self.first[order] = order[new][np.cumsum(new) - 1] if len(order) else order
+        doc = np.searchsorted(starts, at, "right") - 1
+        left = np.maximum(starts[doc], at - REACH)
+        right = np.minimum(ends[doc], at + MATCH)
+        shape = ((at - left) * 1000003 + (right - at)).astype(np.uint64)
+        segment = _mix((sums[right] - sums[left]) * inverse[left] + _mix(shape + np.uint64(1)))
+        return at + low, doc + a, left + low, right + low, hashes[at], segment
 
     def asked(self, buckets: int) -> list[tuple[int, np.ndarray]]:
         """The anchors that ask, by bucket, in order of place."""

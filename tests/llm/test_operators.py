@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -286,6 +287,21 @@ def brute_repeats(data):
     return sorted(out)
 
 
+def test_anchors_of_a_chunk_need_bounded_memory(monkeypatch):
+    rng = random.Random(4)
+    texts = [rng.randbytes(rng.choice([0, 30, 49, 50, 51, 700, 4000])) for _ in range(2500)] + [b""]
+    ids = [rng.randint(0, 2000) for _ in texts]
+    suffix_dedup._powers.clear()
+    tracemalloc.start()
+    chunk = suffix_dedup.Chunk(ids, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(chunk.bytes)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 1 << 40)
+    whole = suffix_dedup.Chunk(ids, texts)
+    assert all(np.array_equal(getattr(chunk, c), getattr(whole, c)) for c in ("at", "doc", "left", "right", "anchor", "segment", "first"))
+
+
 @pytest.mark.parametrize("chunk", [1 << 20, 2000])
 def test_repeats(spark, docs, none, rows, monkeypatch, chunk):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
