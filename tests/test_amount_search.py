@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import fixed_values as V
 from ledgerlens.functions import text as T
 from ledgerlens.operators import extract as X
+from ledgerlens.storage import stored
 
 TEXTS = [
     "Subtotal: Rp 1,234.56", "Total Rp. 12", "idr.  5", "Rp 5%", "Rp 5 %", "Rp 1,000.00 %", "Rp 10 IDR 20", "12 items USD 5", "US$5", "a$7.5", "$ 1,000.00 and 3", "$ 3 and EUR 4.50",
@@ -58,3 +59,34 @@ def test_an_amount_beside_its_label_leaves_neighbours_alone(spark):
     got = {(r["doc_id"], r["relation"], r["distance"]) for r in pairs.collect()}
     assert {g for g in got if g[0] == 1} == {(1, "same_line", 0)}
     assert {(2, "before_label", 1), (2, "after_label", 1), (3, "after_label", 1)} <= got
+
+
+def test_lines_of_one_form_are_read_as_each_line_by_itself(spark):
+    """Digits in dates, misread words, phrases and long amounts; more runs of digits than are numbered; texts that aren't parts of their line."""
+    labels = ["Invoice No", "Inv0ice N0", "T0tal Payable", "Grand Total", "Subtotal", "PPh 23", "PPh 99", "Invoice Date", "Amount Due", "Vendor", "Total 5", "K 5"]
+    values = ["Rp 1,234.56", "Rp 7,234.99", "INV/12/2000", "INV/75/2001", "A / 12", "28/02/2000", "31/02/2000", "12 Agustus 1999", "5 %", "IDR 99999999999999999", "1 2 3 4 5 6 7 8 9 10 11", "PT Maju 5", "33 333", "é5 6"]
+    texts = [f"{a}{s}{v}\n{a}\n{v}" for a in labels for v in values for s in (": ", " = ", " ")]
+    pages = spark.createDataFrame(list(enumerate(texts)), "doc_id long, raw_text string").select("doc_id", F.lit(1).alias("page_number"), "raw_text")
+    lines = stored(X.page_lines(pages))
+    facts = stored(X.line_facts(lines))
+    found = [producer(facts) for producer in (X.label_value_candidates, X.financial_row_candidates, X.context_candidates, X.document_number_candidates, X.date_candidates)]
+    want = sorted(str(r) for part in found for r in part.collect())
+    assert sorted(map(str, X.all_candidates(lines).collect())) == want and len(want) > 500
+
+
+def test_prefixes_of_months_and_phrases_with_digits_are_told():
+    months = {m for m in re.findall("[a-z]{3,}", V.DATE_TOKEN) if m not in ("uary", "ruary", "tember", "ober", "ember", "ust", "il")}
+    assert all(re.search(X._TELLING_DIGITS, f"0 {m}") for m in months if m not in ("rch",)) and "pph 21" in T.DIGIT_PHRASES
+    assert all(re.search(X._TELLING_DIGITS, t) for t in ("PPh 00", "t0tal", "00/00/0000", "0000-0-0", "000,000,000,000.00")) and not re.search(X._TELLING_DIGITS, "Rp 000,000.00")
+
+
+def test_each_amount_of_a_document_counts_once_when_its_total_is_reconciled(spark):
+    from ledgerlens.operators import resolve as R
+
+    text = "Subtotal: Rp 100\nSubtotal: Rp 100\nPPN: Rp 11\nGrand Total: Rp 111"
+    pages = spark.createDataFrame([(1, 1, text), (1, 2, text), (2, 1, "Subtotal: $100\nTax base: Rp 5\nGrand Total: $100")], "doc_id long, page_number int, raw_text string")
+    pool = stored(R.dedup_candidates(X.all_candidates(X.page_lines(pages))))
+    parts = R.expected_payable(pool).withColumnRenamed("validation", "how").collect()
+    assert {(r.doc_id, r.currency, r.expected) for r in parts} == {(1, "IDR", 111.0), (2, "USD", 100.0), (2, "IDR", None)}
+    totals = R.reconcile(pool).filter("amount_role = 'final_total'").collect()
+    assert totals and all((r.score, r.validation) == (0.995, "RECONCILED_NET_TOTAL") for r in totals)
