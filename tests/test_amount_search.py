@@ -90,3 +90,19 @@ def test_each_amount_of_a_document_counts_once_when_its_total_is_reconciled(spar
     assert {(r.doc_id, r.currency, r.expected) for r in parts} == {(1, "IDR", 111.0), (2, "USD", 100.0), (2, "IDR", None)}
     totals = R.reconcile(pool).filter("amount_role = 'final_total'").collect()
     assert totals and all((r.score, r.validation) == (0.995, "RECONCILED_NET_TOTAL") for r in totals)
+
+
+def test_headings_are_lines_that_norm_turns_into_invoice(spark):
+    texts = ["INVOICE", " -- Invoice --", "é invoice é", "invoice 1", "K invoice", "İ invoice", "İNVOICE", "an invoice", "INV OICE", "invoice\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "line string").select((T.norm(F.col("line")) == "invoice").alias("want"), F.col("line").rlike(X._INVOICE_ALONE).alias("got")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and sum(r.got for r in rows) == 4
+
+
+def test_pages_whose_core_fields_are_sure_need_no_look_at_their_labels(spark):
+    from ledgerlens.operators import resolve as R
+
+    names = ["document_number", "transaction_amount", "transaction_date"]
+    won = [(1, n, "FOUND", "final_total") for n in names] + [(2, n, "FOUND", "subtotal") for n in names] + [(3, n, "AMBIGUOUS", "final_total") for n in names] + [(4, "vendor_name", "FOUND", None)] + [(5, n, "FOUND", "final_total") for n in names[:2]]
+    pages = spark.createDataFrame([(i, 1) for i in (*range(1, 7), None)], "doc_id long, page_number int")
+    left = R.unsettled(pages, spark.createDataFrame(won, "doc_id long, field_name string, status string, amount_role string"))
+    assert {r.doc_id for r in left.collect()} == {2, 3, 4, 5, 6, None}
