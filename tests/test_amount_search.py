@@ -106,3 +106,9 @@ def test_pages_whose_core_fields_are_sure_need_no_look_at_their_labels(spark):
     pages = spark.createDataFrame([(i, 1) for i in (*range(1, 7), None)], "doc_id long, page_number int")
     left = R.unsettled(pages, spark.createDataFrame(won, "doc_id long, field_name string, status string, amount_role string"))
     assert {r.doc_id for r in left.collect()} == {2, 3, 4, 5, 6, None}
+
+
+def test_without_lines_that_look_at_neighbours_no_windows_over_lines_are_planned(spark):
+    pages = lambda *texts: X.page_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, raw_text string").select("doc_id", F.lit(1).alias("page_number"), "raw_text"))
+    plan = lambda lines: X.all_candidates(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in plan(pages("Invoice No: A-1\nGrand Total: Rp 5")) and "lag(" in plan(pages("Amount Due\nRp 5"))
